@@ -34,7 +34,7 @@ UNITS = frozenset(
     "million millions millionen milhões millones billion billions thousand mio mrd tsd mil млн млрд тыс us usd eur gbp euro euros dollar dollars dólares pesos libras reais рублей евро долларов percent prozent pct".split()
 )
 NUM, NAME, UNIT, FIRST_WORD = 1, 2, 3, 16
-WORD = re.compile(r"[^\W_]+")
+_RUN = re.compile(r"\w+")
 
 _FOLD = {ord(chr(cp).lower()): v.lower() for cp, v in LOOKS.items() if chr(cp).isupper()} | {cp: v for cp, v in LOOKS.items() if chr(cp).islower()}
 
@@ -48,6 +48,11 @@ def fold(word: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", low).translate(_FOLD))
 
 
+def words_of(text: str) -> list[str]:
+    """Maximal runs of letters and digits."""
+    return _RUN.findall(text.replace("_", " ") if "_" in text else text)
+
+
 _UNIT_FOLDS = frozenset(fold(u) for u in UNITS)
 
 
@@ -71,7 +76,7 @@ def names_of(texts: list[str]) -> set[str]:
     inside, low = set(), set()
     for text in texts:
         for sentence in re.split(r"[.!?;:]\s|\n", text):
-            for k, word in enumerate(WORD.findall(sentence)):
+            for k, word in enumerate(words_of(sentence)):
                 if word[0].islower():
                     low.add(fold(word))
                 elif k and word[0].isupper():
@@ -107,7 +112,7 @@ class Items:
         self.keys: list[int] = []
         hashes, owners, starts, rows = [], [], [], []
         for key, text in items:
-            words = [fold(w) for w in WORD.findall(text)]
+            words = [fold(w) for w in words_of(text)]
             own = np.array([self.ids.setdefault(w, len(self.ids) + FIRST_WORD) for w in words], np.int64)
             rows.append((words, own))
             self.keys.append(key)
@@ -146,7 +151,7 @@ class Items:
         words: list[str] = []
         ends = []
         for text in texts:
-            words += WORD.findall(text)
+            words += words_of(text)
             ends.append(len(words))
         if len(words) < self.width:
             return []

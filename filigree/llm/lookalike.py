@@ -74,20 +74,20 @@ def table() -> dict[int, str]:
 
 
 @functools.cache
-def odd() -> re.Pattern:
-    """Finds a character by which a text may differ from its form, or a letter of a script with look-alikes."""
+def odd() -> frozenset[str]:
+    """Characters by which a text may differ from its form, and letters of scripts with look-alikes."""
     points = set(table()) | set(LOOKS) | set(range(0x370, 0x590))
     for cp in itertools.chain(range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x10000), range(0x1D100, 0x1D250), range(0x2F800, 0x2FA20)):
         char = chr(cp)
         if unicodedata.category(char)[0] == "M" or unicodedata.normalize("NFC", char) != char:
             points.add(cp)
-    runs: list[list[int]] = []
-    for cp in sorted(points):
-        if runs and runs[-1][1] == cp - 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    return re.compile("\r\n|[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+    return frozenset(map(chr, points))
+
+
+@functools.cache
+def _given() -> re.Pattern:
+    """Finds what the table changes."""
+    return re.compile("[" + "".join(f"\\U{cp:08x}" for cp in table()) + "]")
 
 
 def _looks(text: str) -> str:
@@ -114,7 +114,7 @@ def by_table(look: str) -> str:
 
 
 def is_plain(look: str) -> bool:
-    return not odd().search(look)
+    return odd().isdisjoint(look)
 
 
 @functools.cache
@@ -166,13 +166,27 @@ class Trie:
         return tuple(dict.fromkeys(unicodedata.normalize("NFC", base + whole[1:]) for base in _peers().get(whole[0], (whole[0],))))
 
 
+class _Words(dict):
+    """Word as it stands -> its form; filled as words come."""
+
+    def __init__(self, canon: Canon) -> None:
+        super().__init__()
+        self.canon = canon
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = found = self.canon.word(word)
+        return found
+
+
 class Canon:
     """The one form of texts, given canonical spellings (one for each skeleton)."""
 
     def __init__(self, spellings: tuple[str, ...] = ()) -> None:
         self.spellings = tuple(spellings)
         self._trie: Trie | None = None
-        self._seen: dict[str, str] = {}
+        self._words = _Words(self)
 
     def __getstate__(self):
         return self.spellings
@@ -181,34 +195,24 @@ class Canon:
         self.__init__(spellings)
 
     def word(self, word: str) -> str:
-        found = self._seen.get(word)
-        if found is None:
-            self._trie = self._trie or Trie(self.spellings)
-            found = self._trie.walk(word)
-            if found is None:
-                found = by_table(skeleton(word))
-            if len(self._seen) > 1 << 17:
-                self._seen.clear()
-            self._seen[word] = found
-        return found
+        if is_plain(word):
+            return word
+        self._trie = self._trie or Trie(self.spellings)
+        found = self._trie.walk(word)
+        return by_table(skeleton(word)) if found is None else found
 
     def text(self, text: str) -> str:
-        find = odd().search
-        if not find(text):
+        if "\r\n" in text:
+            text = text.replace("\r\n", "\n")
+        if odd().isdisjoint(set(text)):
             return text
-        out, at, given = [], 0, table()
-        for m in WORD.finditer(text.replace("\r\n", "\n")):
-            out.append(m.string[at : m.start()].translate(given))
-            out.append(self.word(m[0]) if find(m[0]) else m[0])
-            at = m.end()
-            rest = m.string
-        tail = rest[at:] if out else text.replace("\r\n", "\n")
-        out.append(tail.translate(given))
-        return "".join(out)
+        words = WORD.sub(lambda m: self._words[m[0]], text)
+        given = table()
+        return _given().sub(lambda m: given[ord(m[0])], words)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find, counts = odd().search, Counter()
+    rare, counts = odd(), Counter()
 
     def flush():
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -217,7 +221,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                if find(text):
+                if not rare.isdisjoint(set(text)):
                     counts.update(w for w in WORD.findall(text) if is_clean(w))
                 else:
                     counts.update(PLAIN_WORD.findall(text))
