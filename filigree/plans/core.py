@@ -1,0 +1,26 @@
+"""Queries of the core over the test tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from filigree.operators import badrows
+
+
+def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    loaded = badrows.load_index_lines(_read(spark, folder, "index_lines"), _read(spark, folder, "form_types"))
+    return loaded.where("reason is not null").select("line_id", "reason")
+
+
+def p5_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    loaded = badrows.load_index_lines(_read(spark, folder, "index_lines"), _read(spark, folder, "form_types"))
+    return loaded.where("reason is null").drop("reason")
+
+
+FLAGSHIP = p5_found
+QUERIES = {f.__name__: f for f in (p5_found, p5_loaded)}
+ORACLE: dict[str, str] = {}
