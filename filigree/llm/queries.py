@@ -105,7 +105,29 @@ with dims as (
 )
 """
 
+#: What characters become, for SQL: spaces, hyphens, full-width forms and look-alike letters, one for one.
+_FROM = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_TO = " " * len(_FROM)
+_FROM += "\u2010\u2011" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "".join(map(chr, lookalike.LOOKS))
+_TO += "--" + "".join(chr(c) for c in range(0x21, 0x7F)) + "".join(lookalike.LOOKS.values())
+_QUOTED = _TO.replace("'", "''")
+_FORMS = f"""
+with forms as (
+    select doc_id, text, nfc_normalize(translate(regexp_replace(replace(replace(replace(text, '\ufb00', 'ff'), '\ufb01', 'fi'), '\ufb02', 'fl'),
+        '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{_FROM}', '{_QUOTED}')) as form
+    from TABLE_ where text <> ''
+)
+"""
+_RUNS = _FORMS + """, words as (
+    select doc_id, regexp_extract_all(translate(lower(form), '\u0432\u043a\u043c\u043d\u0442', 'bkmht'), '[\\pL\\p{Nd}]+') as w from forms
+), runs as (
+    select doc_id, unnest(list_transform(range(1, len(w) - 13), lambda i: array_to_string(w[i:i + 14], ' '))) as run from words where len(w) >= 15
+) select distinct doc_id, run from runs
+"""
+
 ORACLE = {
+    "p8_found": _FORMS.replace("TABLE_", "documents") + "select a.doc_id as doc_id_a, b.doc_id as doc_id_b from forms a join forms b using (form) where a.doc_id < b.doc_id and a.text <> b.text",
+    "p7_found": f"select distinct d.doc_id, i.doc_id as item_id from ({_RUNS.replace('TABLE_', 'documents')}) d join ({_RUNS.replace('TABLE_', '(select item_id as doc_id, text from eval_items)')}) i using (run)",
     "p2_found": """
 with grams as (
     select para_id, unnest(map_keys(counter)) as stem, unnest(map_values(counter)) as n from para_stems where counter is not null
