@@ -15,8 +15,9 @@ from filigree.functions.text import SEARCH_PATTERNS, containing
 def search(texts: DataFrame, key: list[str], text: str = "text", patterns: tuple[str, ...] = SEARCH_PATTERNS) -> DataFrame:
     """(key, pattern, match_no, line): lines that hold a pattern; records without a hit give no rows."""
     padded = F.concat(F.lit("\n"), F.col(text), F.lit("\n"))
-    hits = F.array(*[F.struct(F.lit(p).alias("pattern"), containing(padded, p).alias("lines")) for p in patterns])
-    found = texts.select(*key, F.explode(F.filter(hits, lambda h: F.size(h["lines"]) > 0)).alias("_h"))
+    # whole lines are looked for only where the pattern stands at all
+    hits = F.array(*[F.when(F.col(text).rlike(f"(?i){p}"), F.struct(F.lit(p).alias("pattern"), containing(padded, p).alias("lines"))) for p in patterns])
+    found = texts.select(*key, F.explode(hits).alias("_h")).where(F.size("_h.lines") > 0)
     return found.select(*key, F.col("_h.pattern").alias("pattern"), F.posexplode("_h.lines").alias("match_no", "line"))
 
 

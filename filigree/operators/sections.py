@@ -28,8 +28,9 @@ def paragraphs(forms: DataFrame, text: str = "text", main: Column | None = None,
     failed = F.when(~html & T.has_carriage_return(c), result.error("paragraphs", "ValueError", "carriage return"))
     raw = F.when(html, T.html_paragraphs(c, unescape if resolve else None)).otherwise(T.plain_paragraphs(c))
     df = result.lift(forms, "_raw", raw, failed)
-    failed = F.when(F.col("_raw").isNotNull() & ~T.all_ascii(F.col("_raw")), result.error("paragraphs", "AssertionError", "not ASCII"))
-    df = result.lift(df, "paragraphs", T.clean_paragraphs(F.col("_raw")), failed).drop("_raw")
+    df = result.once(df, "_raw", F.transform("_raw", T.clean_paragraph))
+    failed = F.when(F.col("_raw").isNotNull() & ~F.forall("_raw", T.is_ascii), result.error("paragraphs", "AssertionError", "not ASCII"))
+    df = result.lift(df, "paragraphs", F.filter("_raw", T.is_text_line), failed).drop("_raw")
     if main is not None:
         many = F.when(main & (F.size(T.header_marks(F.col("paragraphs"))) > 2), result.error("paragraphs", "ParseError", "too many Part I"))
         df = result.lift(df, "paragraphs", F.when(main, T.remove_header(F.col("paragraphs"))).otherwise(F.col("paragraphs")), many)

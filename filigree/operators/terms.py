@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree import result
 from filigree.functions.collections import ngrams
 
 # Words that are no terms.
@@ -32,19 +33,18 @@ def lemma(word: Column) -> Column:
 
 def kept_tokens(sentence: Column) -> Column:
     """Alphabetic tokens that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.regexp_extract_all(sentence, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: ~F.array_contains(stop, F.lower(w)))
+    return F.filter(F.regexp_extract_all(sentence, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: ~F.lower(w).isin(*STOP_WORDS))
 
 
 def phrases(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key, words): the kept tokens of each sentence that has any, as they stand."""
     sentence = texts.where(F.col(text).isNotNull()).select(*key, F.explode(sentences(F.col(text))).alias("_s"))
-    return sentence.select(*key, kept_tokens(F.col("_s")).alias("words")).where(F.size("words") > 0)
+    return result.once(sentence, "words", kept_tokens(F.col("_s"))).select(*key, "words").where(F.size("words") > 0)
 
 
 def ngram_rows(texts: DataFrame, key: list[str], text: str = "text", n: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(key, n, term): every n-gram of lemmas within a sentence; terms are joined by a space, that of n = 0 is empty, once per token."""
-    lemmas = phrases(texts, key, text).select(*key, F.transform("words", lemma).alias("l"))
+    lemmas = result.once(phrases(texts, key, text), "l", F.transform("words", lemma))
 
     def grams(k: int) -> Column:
         found = ngrams(F.col("l"), k) if k else F.transform("l", lambda _: F.lit(""))
@@ -166,6 +166,9 @@ def bigram_likelihood(counts: DataFrame, least: int = 1) -> DataFrame:
 
     counts: (n, term, cnt) with n = 0, 1 and 2 over one collection.
     """
+    from filigree.store import cut
+
+    counts = cut(counts, "ngrams")
     total = float(counts.where("n = 0").agg(F.sum("cnt")).first()[0] or 0)
     words = counts.where("n = 1").select(F.col("term").alias("_t"), F.col("cnt").alias("_c"))
     pairs = counts.where((F.col("n") == 2) & (F.col("cnt") >= least)).select(F.split_part("term", F.lit(" "), F.lit(1)).alias("first"), F.split_part("term", F.lit(" "), F.lit(2)).alias("second"), "cnt")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree import result
 from filigree.functions import collections as C
 from filigree.functions import text as T
 from filigree.operators import badrows, reports, sections, terms, topics
@@ -162,8 +163,8 @@ def sgml_documents(spark, folder):
 
 @query(_DOCS + ", m as (select doc_id, arg_min(text, k) as form from t where type = form_type group by 1) select s.doc_id, m.form, case when m.form is null then 'ParseError' end as error from s left join m using (doc_id)")
 def sgml_main_document(spark, folder):
-    s = _submissions(spark, folder)
-    text, failed = sgml.main_document(sgml.documents(F.col("submission")), F.col("form_type"))
+    s = result.once(_submissions(spark, folder), "docs", sgml.documents(F.col("submission")))
+    text, failed = sgml.main_document(F.col("docs"), F.col("form_type"))
     return s.select("doc_id", text.alias("form"), failed.getField("type").alias("error"))
 
 

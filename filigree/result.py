@@ -27,3 +27,12 @@ def lift(df: DataFrame, column: str, value: Column, failed: Column, into: str =
 def good(df: DataFrame) -> DataFrame:
     """Only the rows without an error."""
     return df.where("error is null")
+
+
+def once(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """df with a column that is computed once per row, however often later expressions use it.
+
+    Projections are merged by the optimiser and would repeat a costly expression
+    for each use; a generator of exactly one row is not merged.
+    """
+    return df.select(*[c for c in df.columns if c != column], F.explode(F.array(value)).alias(column))

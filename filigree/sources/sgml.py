@@ -17,18 +17,26 @@ def documents(text: Column) -> Column:
     are not trimmed. Documents without TEXT are left out.
     """
     inner = F.regexp_extract_all(text, F.lit("(?s)<DOCUMENT>(.*?)</DOCUMENT>"), F.lit(1))
-    pattern = "(?s)(.*)<TEXT>(.*?)</TEXT>(.*)"
-
-    def attributes(d: Column) -> Column:
-        rest = F.concat(F.regexp_extract(d, pattern, 1), F.regexp_extract(d, pattern, 3))
+    # what the last opening tag with a closing tag after it leaves before and behind
+    head = F.transform(inner, lambda d: F.struct(d.alias("d"), F.substring_index(d, "</TEXT>", -1).alias("tail")))
+    whole = F.filter(head, lambda h: F.length(h["tail"]) < F.length(h["d"]))
+    cut = F.transform(whole, lambda h: F.struct(h["tail"].alias("tail"), F.left(h["d"], F.length(h["d"]) - F.length(h["tail"]) - 7).alias("h")))
+    last = F.transform(cut, lambda c: F.struct(c["h"].alias("h"), F.substring_index(c["h"], "<TEXT>", -1).alias("after"), c["tail"].alias("tail")))
+    last = F.filter(last, lambda c: F.length(c["after"]) < F.length(c["h"]))
+
+    def parts(c: Column) -> Column:
+        body = F.substring_index(c["after"], "</TEXT>", 1)
+        rest = F.concat(F.left(c["h"], F.length(c["h"]) - F.length(c["after"]) - 6), F.substr(F.concat(c["after"], F.lit("</TEXT>"), c["tail"]), F.length(body) + 8))
+        return F.struct(body.alias("text"), rest.alias("rest"))
+
+    def attributes(p: Column) -> Column:
         tag = F.lit(r"(?s)<(.*?)>(.*?)[\n<]")
-        names, values = F.regexp_extract_all(rest, tag, F.lit(1)), F.regexp_extract_all(rest, tag, F.lit(2))
+        names, values = F.regexp_extract_all(p["rest"], tag, F.lit(1)), F.regexp_extract_all(p["rest"], tag, F.lit(2))
         pairs = F.arrays_zip(F.transform(names, F.lower).alias("k"), values.alias("v"))
-        every = F.concat(F.array(F.struct(F.lit("text").alias("k"), F.regexp_extract(d, pattern, 2).alias("v"))), pairs)
-        keys = F.array_distinct(F.transform(every, lambda e: e["k"]))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(every, lambda e: e["k"] == k), -1)["v"]))
+        first = F.create_map(F.lit("text"), p["text"])
+        return F.aggregate(pairs, first, lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
 
-    return F.transform(F.filter(inner, lambda d: d.rlike(pattern)), attributes)
+    return F.transform(F.transform(last, parts), attributes)
 
 
 def main_document(docs: Column, form_type: Column) -> tuple[Column, Column]:
@@ -45,7 +53,7 @@ def main_document(docs: Column, form_type: Column) -> tuple[Column, Column]:
 def raw_forms(filings: DataFrame, submissions: DataFrame) -> DataFrame:
     """filings with `form` and `error`: the main document of each one's submission (url, submission)."""
     both = filings.join(submissions.select(F.col("url").alias("_url"), "submission"), F.col("url") == F.col("_url"), "left").drop("_url")
-    both = both.withColumn("_docs", documents(F.col("submission")))
+    both = result.once(both, "_docs", documents(F.col("submission")))
     text, failed = main_document(F.col("_docs"), F.col("form_type"))
     earlier = F.col("error") if "error" in filings.columns else result.no_error()
     return both.withColumns({"form": text, "_failed": failed}).withColumn("error", F.coalesce(earlier, F.col("_failed"))).withColumn("form", F.when(F.col("error").isNull(), F.col("form"))).drop("_docs", "_failed", "submission")
