@@ -415,7 +415,8 @@ def paragraph_stems(spark, folder):
 @query("with w as (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents where text is not null) select doc_id, array_to_string(list_transform(range(1, len(w) + 1, 3), lambda i: array_to_string(w[i:i + 2], ' ')), '|') as chunks from w")
 def word_chunks(spark, folder):
     d = read(spark, folder, "documents").where("text is not null")
-    chunks = C.chunks(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 3)
+    d = result.once(d, "words", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    chunks = C.chunks(F.col("words"), 3)
     return d.select("doc_id", F.array_join(F.transform(chunks, lambda c: F.array_join(c, " ")), "|").alias("chunks"))
 
 
@@ -489,7 +490,7 @@ def timing_report(spark, folder):
     return out.select(F.array_join("path", "/").alias("path"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "of_parent", "of_second")])
 
 
-@query("select lang, row_number() over (partition by lang order by n_chars) as rank, n_chars from documents")
+@query("select lang, row_number() over (partition by lang order by n_chars nulls first) as rank, n_chars from documents")
 def sorted_lengths(spark, folder):
     return sections.ranked(read(spark, folder, "documents"), "n_chars", ["lang"])
 
