@@ -47,26 +47,35 @@ def project(weights: DataFrame, topics: DataFrame, key: str = "doc_id", term: st
 def lsi(bow: DataFrame, words: int, k: int) -> tuple[list[float], DataFrame]:
     """(singular values, topics): latent semantic indexing of bags (bow: array of (idx, val)) over `words` columns.
 
-    The singular values come from the distributed Gram matrix; topics is
-    (topic, word_id, weight). Signs of vectors are arbitrary.
+    The distributed Gram matrix (words squared) comes to the driver, which takes it
+    apart once; records are read once, whatever k. topics is (topic, word_id,
+    weight). Signs of vectors are arbitrary; values of zero are left out.
     """
+    import numpy as np
+    import pyarrow as pa
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     rows = bow.select("bow").rdd.map(lambda r: Vectors.sparse(words, [(e["idx"], e["val"]) for e in r["bow"]]))
-    svd = RowMatrix(rows, numCols=words).computeSVD(k, computeU=False)
-    v = svd.V.toArray()
-    spark = bow.sparkSession
-    flat = [(t, w, float(v[w, t])) for t in range(v.shape[1]) for w in range(words)]
-    return list(svd.s.toArray()), spark.createDataFrame(flat, "topic int, word_id int, weight double")
+    squares, vectors = np.linalg.eigh(RowMatrix(rows, numCols=words).computeGramianMatrix().toArray())
+    values = np.sqrt(np.maximum(squares[::-1][:k], 0))
+    values = values[values > 1e-9 * values[:1].max(initial=0)]
+    found = len(values)
+    # one row a topic; words are told apart only in the tasks
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(found + 1, dtype=np.int32) * words), pa.array(vectors[:, ::-1][:, :found].T.ravel()))
+    table = bow.sparkSession.createDataFrame(pa.table({"topic": np.arange(found, dtype=np.int32), "_v": lists}))
+    return values.tolist(), table.select("topic", F.posexplode("_v").alias("word_id", "weight"))
 
 
 def lda(bow: DataFrame, words: int, k: int = 20, iterations: int = 10, seed: int = 0) -> DataFrame:
     """(topic, word_id, weight): latent Dirichlet allocation of bags, online over mini-batches."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    dense = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at(F.map_from_arrays(F.transform("bow", lambda e: e["idx"]), F.transform("bow", lambda e: e["val"])), i), F.lit(0.0)))
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(bow.select(array_to_vector(dense).alias("features")))
+    from filigree.store import cut
+
+    sparse = F.udf(lambda found: Vectors.sparse(words, [(e["idx"], e["val"]) for e in found]), VectorUDT())
+    # written once: each mini-batch reads the records again
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(cut(bow.select(sparse("bow").alias("features")), "features"))
     best = model.describeTopics(words)
     return best.select("topic", F.arrays_zip("termIndices", "termWeights").alias("_z")).select("topic", F.explode("_z").alias("_e")).select("topic", F.col("_e.termIndices").alias("word_id"), F.col("_e.termWeights").alias("weight"))

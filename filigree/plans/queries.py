@@ -422,6 +422,8 @@ def word_chunks(spark, folder):
 
 # ---- topics
 
+#: Topics of the latent semantic indexing.
+LSI_TOPICS = 500
 _FLAT = "with f as (select para_id, year, qtr, coalesce(length, 0) as w, unnest(topic_vec) as e from para_stems)"
 _QT = _FLAT + ", s as (select year, qtr, e.topic as topic, sum(e.val * w) as weighted, sum(e.val) as unweighted, count(*) as pairs from f group by all), t as (select year, qtr, sum(coalesce(length, 0)) as weights, count(*) as docs from para_stems where len(topic_vec) > 0 group by all)"
 
@@ -454,20 +456,25 @@ def topic_words(spark, folder):
     return topics.top_words(_weights(spark, folder).withColumn("weight", F.round("weight", 6)))
 
 
+def _kept_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, counts of its stems by record)."""
+    vocabulary = terms.cut_vocabulary(terms.stem_totals(rows, []))
+    counts = rows.select("para_id", F.explode("counter").alias("stem", "cnt"))
+    return vocabulary, counts.join(vocabulary.select("stem"), "stem", "left_semi")
+
+
 @query()
 def lsi_topics(spark, folder):
     rows = read(spark, folder, "para_stems")
-    vocabulary = terms.cut_vocabulary(terms.stem_totals(rows, []), 0.02)
-    counts = rows.select("para_id", F.explode("counter").alias("stem", "cnt"))
-    values, found = topics.lsi(terms.bags(counts, vocabulary, ["para_id"], "stem"), vocabulary.count(), 10)
+    vocabulary, counts = _kept_counts(rows)
+    weights = terms.tfidf(counts, rows.where("counter is not null").count(), "para_id", "stem").withColumnRenamed("weight", "cnt")
+    values, found = topics.lsi(terms.bags(weights, vocabulary, ["para_id"], "stem"), vocabulary.count(), LSI_TOPICS)
     return topics.top_words(found.join(vocabulary, "word_id").withColumnRenamed("stem", "word"))
 
 
 @query()
 def lda_topics(spark, folder):
-    rows = read(spark, folder, "para_stems")
-    vocabulary = terms.cut_vocabulary(terms.stem_totals(rows, []), 0.02)
-    counts = rows.select("para_id", F.explode("counter").alias("stem", "cnt"))
+    vocabulary, counts = _kept_counts(read(spark, folder, "para_stems"))
     found = topics.lda(terms.bags(counts, vocabulary, ["para_id"], "stem"), vocabulary.count(), 20)
     return topics.top_words(found.join(vocabulary, "word_id").withColumnRenamed("stem", "word"))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigree.operators import reports, terms, topics
+from filigree.plans import queries
 from filigree.sources import index, sinks
 from filigree.store import Memo, canonical, cut
 
@@ -111,6 +112,23 @@ def test_lsi_keeps_the_norm(spark):
     assert {(r.topic, r.word_id): abs(round(r.weight, 6)) for r in found.collect()}[0, 1] == 1.0
 
 
+def test_topic_models_take_the_whole_vocabulary(spark, tmp_path):
+    # 18 % of 100 stems: 18 words; a topic of 18 words lists each
+    rows = [(i, {f"s{k:02d}": 1 + (i * k) % 7 for k in range(100) if k < 18 and (i + k) % 3 or k == i}) for i in range(100)]
+    spark.createDataFrame(rows, "para_id int, counter map<string,bigint>").write.parquet(f"{tmp_path}/para_stems.parquet")
+    lda, lsi = (queries.QUERIES[q](spark, str(tmp_path)).collect() for q in ("lda_topics", "lsi_topics"))
+    assert len({r.word for r in lda}) == len({r.word for r in lsi}) == 18
+    assert len({r.topic for r in lsi}) == 18
+
+
+def test_lsi_topics_of_tfidf(spark, tmp_path):
+    # a stem in every record weighs nothing by tf-idf, though it leads the raw counts
+    rows = [(i, {"all": 50} | {f"s{(i + k) % 20:02d}": 1 for k in range(4)}) for i in range(40)]
+    spark.createDataFrame(rows, "para_id int, counter map<string,bigint>").write.parquet(f"{tmp_path}/para_stems.parquet")
+    first = {r.word: abs(r.weight) for r in queries.QUERIES["lsi_topics"](spark, str(tmp_path)).where("topic = 0").collect()}
+    assert len(first) == 3 and first["all"] < 1e-9
+
+
 def test_timer_and_report(spark):
     timer = reports.Timer()
 
