@@ -339,12 +339,12 @@ def _pair_keys(cosine: float):
     """(key, leaf) rows such that leaves similar by `cosine` share a key.
 
     Of a leaf's mean the strongest topics are taken until at most TAIL of its norm
-    is left. Keys are all pairs of them and single topics of a weight w with
-    w * w >= cosine - 2 * TAIL. Two means that share no such key have at most one
-    of the taken topics in common, with a product below that bound, and the rest
-    of the dot product is at most 2 * TAIL: they are not similar.
+    is left. Keys are all pairs of them and single topics of a weight of at least
+    cosine - 2 * TAIL, as the other weight may be 1. Two means that share no such
+    key have at most one of the taken topics in common, with a product below that
+    bound, and the rest of the dot product is at most 2 * TAIL: they are not similar.
     """
-    single = np.sqrt(cosine - 2 * TAIL)
+    single = cosine - 2 * TAIL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,6 +56,13 @@ def test_blocks_of_centroids(spark):
     assert got == brute(rows)
 
 
+def test_one_topic_against_two_across_partitions(spark):
+    # cosine 0.705 by one shared topic, of weights 1 and 0.705; no rounds, so that only the keys bring them together
+    df = spark.createDataFrame([(1, [(1, 1.0)])], "para_id bigint, topic_vec array<struct<topic:int,val:double>>")
+    df = df.coalesce(1).union(spark.createDataFrame([(2, [(1, 0.705), (2, 0.709)])], df.schema).coalesce(1))
+    assert [(r.n, r.least) for r in centroids(df, rounds=0).collect()] == [(2, 1)]
+
+
 def test_typical_members(spark):
     df = spark.createDataFrame(rows_of(5), ROWS)
     got = typical_members(clustered(df), 2).collect()
