@@ -399,7 +399,7 @@ def tfidf_ltc(spark, folder):
 )
 def bigram_likelihood(spark, folder):
     counts = terms.ngram_counts(read(spark, folder, "documents"), [], n=(0, 1, 2))
-    return terms.bigram_likelihood(counts, 20).withColumn("score", F.round("score", 3)).where("score > 35")
+    return terms.bigram_likelihood(counts).withColumn("score", F.round("score", 3)).where("score > 35")
 
 
 @query(

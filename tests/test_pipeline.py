@@ -97,6 +97,13 @@ def test_bigram_likelihood(spark):
     assert math.isclose(got, 2 * sum(o * math.log(o * 100 / e) for o, e in table))
 
 
+def test_rare_bigrams_are_scored(spark, tmp_path):
+    text = ". ".join(["zebra quagga"] * 5 + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} filler" for i in range(400)])
+    spark.createDataFrame([(1, text)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.first, r.second): r.cnt for r in queries.QUERIES["bigram_likelihood"](spark, str(tmp_path)).collect()}
+    assert got["zebra", "quagga"] == 5
+
+
 def test_topics(spark):
     rows = spark.createDataFrame([(1, 2000, 1, 10, [(1, 0.5), (2, -0.25)]), (2, 2000, 1, None, [(1, 1.0)]), (3, 2000, 2, 5, None), (4, 2000, 2, 5, [])], "para_id int, year int, qtr int, length bigint, topic_vec array<struct<topic:int,val:double>>")
     got = {(r.topic, r.year): (r.weighted, r.unweighted) for r in topics.prevalence(rows).collect()}
