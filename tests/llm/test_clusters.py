@@ -58,8 +58,9 @@ def test_blocks_of_centroids(spark):
 
 def test_one_topic_against_two_across_partitions(spark):
     # cosine 0.705 by one shared topic, of weights 1 and 0.705; no rounds, so that only the keys bring them together
-    df = spark.createDataFrame([(1, [(1, 1.0)])], "para_id bigint, topic_vec array<struct<topic:int,val:double>>")
-    df = df.coalesce(1).union(spark.createDataFrame([(2, [(1, 0.705), (2, 0.709)])], df.schema).coalesce(1))
+    vec = "if(id = 1, array(struct(1 as topic, 1D as val)), array(struct(1 as topic, 0.705D as val), struct(2 as topic, 0.709D as val))) as topic_vec"
+    df = spark.range(1, 3, numPartitions=2).selectExpr("id as para_id", vec)
+    assert df.rdd.getNumPartitions() == 2
     assert [(r.n, r.least) for r in centroids(df, rounds=0).collect()] == [(2, 1)]
 
 
