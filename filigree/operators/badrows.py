@@ -1,10 +1,10 @@
 """Loading index lines while setting aside those that fail, with the reason.
 
 Method: blocks of lines are parsed on a fast columnar path (one compiled pattern
-and typed casts over whole Arrow arrays). A block with anything the fast path does
-not accept fails as a whole and is bisected, recursively, until single lines are
-left; those are diagnosed by a strict parser, which is the only place that decides
-on a reason.
+and typed casts over whole Arrow arrays), once each. A block with anything the fast
+path does not accept fails and is bisected, recursively, on the running number of
+its failures until single lines are left; those are diagnosed by a strict parser,
+which is the only place that decides on a reason.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = " \t\r\n"
-BLOCK = 1024
+BLOCK = 4096
 # The five column names, in the order of each layout.
 FIXED_ORDER = ("form_type", "company_name", "cik", "date_filed", "filename")
 PIPE_ORDER = ("cik", "company_name", "form_type", "date_filed", "filename")
@@ -105,50 +106,56 @@ def diagnose(line: str, layout: str, order: tuple[str, ...], known: frozenset[st
     return None, row
 
 
-class _Refused(Exception):
-    """The fast path does not take a block."""
+def _real_days(days: pa.Array) -> np.ndarray:
+    """Whether each text is a day that the calendar has, as YYYY-MM-DD."""
+    shaped = pc.fill_null(pc.match_substring_regex(days, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), False)
+    whole = pc.if_else(shaped, days, "0000-00-00")
+    year, month, day = (pc.cast(pc.utf8_slice_codeunits(whole, a, b), pa.int32()).to_numpy(zero_copy_only=False) for a, b in ((0, 4), (5, 7), (8, 10)))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.clip(month, 0, 12)] + ((month == 2) & leap)
+    return shaped.to_numpy(zero_copy_only=False) & (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= last)
 
 
-def _fast(lines: pa.Array, layout: str, order: tuple[str, ...], known: pa.Array) -> dict[str, pa.Array]:
+def _fast(lines: pa.Array, layout: str, order: tuple[str, ...], known: pa.Array) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """(columns, which lines the fast path takes) of a block."""
     got = pc.extract_regex(pc.utf8_trim(lines, BLANK), _PIPE if layout == "pipe" else _FIXED)
-    if got.null_count:
-        raise _Refused
     row = {name: pc.utf8_trim(pc.struct_field(got, i), BLANK) for i, name in enumerate(order)}
     name = row["company_name"]
-    fine = pc.and_(
-        pc.and_(pc.is_in(row["form_type"], known), pc.match_substring_regex(name, r"\pL")),
-        pc.and_(pc.invert(pc.match_substring_regex(name, _BAD_NAME)), pc.match_substring_regex(row["date_filed"], r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")),
-    )
-    if not pc.all(fine).as_py():
-        raise _Refused
-    try:
-        row["date_filed"] = pc.cast(row["date_filed"], pa.date32())
-    except pa.ArrowInvalid:
-        raise _Refused from None
-    return row
+    fine = pc.and_(pc.and_(got.is_valid(), pc.is_in(row["form_type"], known)), pc.and_(pc.match_substring_regex(name, r"\pL"), pc.invert(pc.match_substring_regex(name, _BAD_NAME))))
+    taken = pc.fill_null(fine, False).to_numpy(zero_copy_only=False) & _real_days(row["date_filed"])
+    return row, taken
 
 
-def _bisect(lines: pa.Array, at: int, layout: str, order: tuple[str, ...], known: pa.Array, names: frozenset[str]) -> Iterator[tuple[int, int, dict]]:
-    """(from, number, columns) of the parts of a block; single lines that fail carry a reason."""
-    todo = [(0, len(lines))]
+def isolated(taken: np.ndarray) -> list[int]:
+    """Places of the lines not taken, by recursive bisection: a part without a failure is left as a whole."""
+    failures = np.concatenate([[0], np.cumsum(~taken)])
+    found, todo = [], [(0, len(taken))]
     while todo:
-        start, size = todo.pop()
-        if size == 0:
+        start, end = todo.pop()
+        if failures[start] == failures[end]:
+            continue
+        if end - start == 1:
+            found.append(start)
             continue
-        try:
-            yield at + start, size, _fast(lines.slice(start, size), layout, order, known)
-        except _Refused:
-            if size > 1:
-                todo += [(start, size // 2), (start + size // 2, size - size // 2)]
-                continue
-            reason, row = diagnose(lines[start].as_py(), layout, order, names)
-            day = datetime.date.fromisoformat(row["date_filed"]) if row and reason is None else None
-            yield (
-                at + start,
-                1,
-                {k: pa.array([row.get(k)], pa.string()) for k in FIXED_ORDER if k != "date_filed"}
-                | {"date_filed": pa.array([day], pa.date32()), "reason": pa.array([reason], pa.string())},
-            )
+        middle = (start + end) // 2
+        todo += [(middle, end), (start, middle)]
+    return found
+
+
+def _block(lines: pa.Array, layout: str, order: tuple[str, ...], known: pa.Array, names: frozenset[str]) -> Iterator[tuple[pa.Array, dict[str, pa.Array]]]:
+    """(places, columns) of a block: of the lines that the fast path takes, and of the others, which carry a reason if they are not valid."""
+    row, taken = _fast(lines, layout, order, known)
+    bad = isolated(taken)
+    good = pa.array(np.flatnonzero(taken))
+    if len(good):
+        columns = {k: v.take(good) for k, v in row.items()}
+        columns["date_filed"] = pc.cast(columns["date_filed"], pa.date32())
+        yield good, columns
+    if bad:
+        told = [diagnose(line, layout, order, names) for line in lines.take(pa.array(bad)).to_pylist()]
+        columns = {k: pa.array([fields.get(k) for _, fields in told], pa.string()) for k in FIXED_ORDER if k != "date_filed"}
+        columns["date_filed"] = pa.array([datetime.date.fromisoformat(fields["date_filed"]) if reason is None else None for reason, fields in told], pa.date32())
+        yield pa.array(bad), columns | {"reason": pa.array([reason for reason, _ in told], pa.string())}
 
 
 def order_of(header: str | None, layout: str) -> tuple[str, ...]:
@@ -177,10 +184,10 @@ def _parse(names: frozenset[str], keys: tuple[str, ...], block: int):
                 order = order_of(kind["h"], layout)
                 lines = mine["line"]
                 for start in range(0, len(lines), block):
-                    for at, size, row in _bisect(lines.slice(start, block), start, layout, order, known, names):
-                        nulls = pa.nulls(size, pa.string())
-                        part = mine.slice(at, size)
-                        out = [part[k] for k in keys] + [row["form_type"], row["company_name"], row["cik"], row["date_filed"], row["filename"], row.get("reason", nulls)]
+                    piece = mine.slice(start, block)
+                    for places, row in _block(lines.slice(start, block), layout, order, known, names):
+                        part = piece.take(places)
+                        out = [part[k] for k in keys] + [row["form_type"], row["company_name"], row["cik"], row["date_filed"], row["filename"], row.get("reason", pa.nulls(len(places), pa.string()))]
                         yield pa.RecordBatch.from_arrays(out, names=[*keys, *_OUT.names])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

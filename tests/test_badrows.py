@@ -1,8 +1,10 @@
 import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from filigree.operators.badrows import BLANK, diagnose, load_index_lines, order_of, unquote
+from filigree.operators.badrows import BLANK, _real_days, diagnose, isolated, load_index_lines, order_of, unquote
 
 TYPES = frozenset({"10-K", "8-K"})
 LINES = "line_id bigint, index_file string, layout string, year int, qtr int, line_no bigint, line string"
@@ -50,10 +52,10 @@ def test_reasons(spark):
 
 
 def test_fixed_layout_joins_surplus_pieces(spark):
-    bodies = ["10-K      SILVER DINER INC  /MD/     923134   1996-06-21  edgar/data/923134/x.txt    ", "10-K   A B 5  1996-06-21  f"]
+    bodies = ["10-K      QUIET HARBOR CO  /TX/     700412   2003-11-05  edgar/data/700412/x.txt    ", "10-K   A B 5  2003-11-05  f"]
     got = load_index_lines(lines(spark, bodies, "fixed"), types(spark)).orderBy("line_id").collect()
     assert [r.reason for r in got] == [None, "columns"]
-    assert got[0].company_name == "SILVER DINER INC /MD/" and got[0].url.endswith("edgar/data/923134/x.txt")
+    assert got[0].company_name == "QUIET HARBOR CO /TX/" and got[0].url.endswith("edgar/data/700412/x.txt")
 
 
 def test_every_block_size_agrees_with_strict_parsing(spark):
@@ -72,3 +74,20 @@ def test_clashing_columns_copies_and_empty_tables(spark):
     assert load_index_lines(df.where("line_no < 7"), types(spark)).count() == 0
     got = load_index_lines(df, types(spark).limit(0)).collect()
     assert {r.reason for r in got} == {"form_type"}
+
+
+def test_bisection_isolates_what_is_not_taken():
+    taken = np.array([True, False, True, True, False, False, True])
+    assert isolated(taken) == [1, 4, 5] and isolated(taken[2:4]) == [] and isolated(taken[:0]) == []
+
+
+def test_real_days():
+    days = ["2000-02-29", "1900-02-29", "2004-02-29", "2003-02-29", "1999-04-31", "1999-12-31", "0000-01-01", "0001-01-01", "1999-13-01", "1999-00-10", "1999-1-01", "", None, "1999-01-01\n"]
+
+    def real(text):
+        try:
+            return text is not None and len(text) == 10 and bool(datetime.date.fromisoformat(text))
+        except ValueError:
+            return False
+
+    assert _real_days(pa.array(days, pa.string())).tolist() == [real(d) for d in days]
