@@ -13,11 +13,11 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return garbled.restored(_read(spark, folder, "raw_forms")).where("garbled").select("form_id", "field")
+    return garbled.garbled_forms(_read(spark, folder, "raw_forms")).where("garbled").select("form_id", "field")
 
 
 def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return garbled.restored(_read(spark, folder, "raw_forms")).where("garbled").select("form_id", "field", F.concat_ws(", ", "channels").alias("channels"), "text")
+    return garbled.garbled_forms(_read(spark, folder, "raw_forms")).where("garbled").select("form_id", "field", F.concat_ws(", ", "channels").alias("channels"), "text")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
