@@ -1,13 +1,18 @@
 """Texts that look the same brought to one form.
 
-Method: words that hold anything but plain characters are looked up in a trie of
-the corpus's vocabulary by an edit automaton with weights: exchanging look-alike
-letters, compatibility forms or composed and combining accents costs nothing,
-dropping an invisible character costs nothing, any other edit costs more than the
-budget, which is zero. The node reached names the canonical spelling. Words that
-the vocabulary does not hold, and all other characters, go by table. Both ways
-give one form for all spellings of one look, so texts look the same exactly when
-their forms are equal, whatever the vocabulary holds.
+Method: words are looked up in a trie of the corpus's vocabulary by an edit
+automaton with weights. Exchanging look-alike letters, full-width and other
+compatibility forms, composed and combining accents, and dropping what is
+invisible cost nothing; another accent or case, and other letters, cost more than
+the budget, which is zero where texts are to keep what can be seen. The node reached
+names the canonical spelling: the most frequent one of a look, so a word of letters
+that two scripts share is spelt in the script in which the corpus writes it. Words
+that the vocabulary does not hold, and all other characters, go by table. A look has
+one spelling, by whichever way, so texts look the same exactly when their forms are
+equal.
+
+A vocabulary can be stored with its version. Forms of one version are comparable
+and do not change as a corpus grows.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.store import cut
@@ -46,7 +51,12 @@ RESTORE = dict(zip("ABESIJKMHOPCTYXaesijopcyx", "АВЕЅІЈКМНОРСТУХ
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nl}\p{Cf}\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f--ʼ]+", regex.V1)
 PLAIN_WORD = re.compile(r"[^\W\d_]+")
 MIN_COUNT = 3
+#: Spellings that the table would give as well, held at most; those that it would not give are held all.
 MAX_VOCABULARY = 200_000
+#: Letters that a word must have to be spelt in another script than Latin where all its letters look Latin.
+FOREIGN = 3
+#: What the automaton pays for a change that can be seen.
+WEIGHTS = {"accent": 1.0, "case": 1.0, "letter": 2.0}
 HELD = 200_000
 
 
@@ -126,6 +136,16 @@ def _peers() -> dict[str, tuple[str, ...]]:
     return {k: tuple(v) for k, v in found.items()}
 
 
+def _change(edge: str, look: str) -> float:
+    """Weight of reading a letter of the trie as another look."""
+    a, b = (unicodedata.normalize("NFD", _looks(x)) for x in (edge, look))
+    if a == b:
+        return 0.0
+    if a[:1] == b[:1]:
+        return WEIGHTS["accent"]
+    return WEIGHTS["case"] if a.lower() == b.lower() else WEIGHTS["letter"]
+
+
 class Trie:
     """Canonical spellings, by their characters."""
 
@@ -137,27 +157,65 @@ class Trie:
                 node = node.setdefault(char, {})
             node[""] = spelling
 
-    def walk(self, word: str) -> str | None:
-        """The canonical spelling at cost zero, or None.
+    def walk(self, word: str, budget: float = 0.0) -> tuple[float, str] | None:
+        """(cost, spelling) of the cheapest canonical spelling within the budget, ties by spelling, or None.
 
-        States are nodes. A cluster of a letter and its marks moves along every
-        edge whose letter has the same look; an invisible character leaves the
-        states as they are; a ligature moves along several edges.
+        States are nodes with the least cost at which they are reached. A cluster
+        of a letter and its marks moves along edges by weight; an invisible
+        character leaves the states as they are; a ligature moves along several
+        edges. Letters left out or put in weigh as much as other letters.
         """
-        states, given = [self.root], table()
-        cluster = ""
+        states: dict[int, tuple[float, dict]] = {id(self.root): (0.0, self.root)}
+        for look in self._clusters(word):
+            states = self._step(self._spread(states, budget), look, budget)
+            if not states:
+                return None
+        ends = [(cost, node[""]) for cost, node in self._spread(states, budget).values() if "" in node]
+        return min(ends, default=None)
+
+    @staticmethod
+    def _clusters(word: str) -> Iterator[str]:
+        """Looks of the letters of a word with their marks, without what is invisible."""
+        given, cluster = table(), ""
         for char in [*word, ""]:
             for part in given.get(ord(char), char) if char else [""]:
                 if part and cluster and unicodedata.combining(part):
                     cluster += part
                     continue
-                if cluster:
-                    for look in _looks(cluster):
-                        states = [s[e] for s in states for e in self._edges(look) if e in s]
-                    if not states:
-                        return None
+                yield from _looks(cluster)
                 cluster = part
-        return min((s[""] for s in states if "" in s), default=None)
+
+    def _step(self, states: dict, look: str, budget: float) -> dict:
+        found: dict[int, tuple[float, dict]] = {}
+
+        def reach(cost: float, node: dict) -> None:
+            if cost <= budget and cost < found.get(id(node), (budget + 1,))[0]:
+                found[id(node)] = cost, node
+
+        for cost, node in states.values():
+            for edge in self._edges(look):
+                if edge in node:
+                    reach(cost, node[edge])
+            if budget > cost:
+                for edge, child in node.items():
+                    if edge:
+                        reach(cost + _change(edge, look), child)
+                reach(cost + WEIGHTS["letter"], node)
+        return found
+
+    def _spread(self, states: dict, budget: float) -> dict:
+        """States with those reached by leaving out letters of the trie."""
+        todo = list(states.values())
+        found = dict(states)
+        while todo:
+            cost, node = todo.pop()
+            more = cost + WEIGHTS["letter"]
+            if more <= budget:
+                for edge, child in node.items():
+                    if edge and more < found.get(id(child), (budget + 1,))[0]:
+                        found[id(child)] = more, child
+                        todo.append((more, child))
+        return found
 
     @staticmethod
     @functools.lru_cache(1 << 14)
@@ -185,6 +243,8 @@ class Canon:
 
     def __init__(self, spellings: tuple[str, ...] = ()) -> None:
         self.spellings = tuple(spellings)
+        #: Words of plain Latin letters that are spelt in another script.
+        self.foreign = {look: s for s in self.spellings if not is_plain(s) and is_plain(look := skeleton(s))}
         self._trie: Trie | None = None
         self._words = _Words(self)
 
@@ -194,22 +254,47 @@ class Canon:
     def __setstate__(self, spellings) -> None:
         self.__init__(spellings)
 
+    @property
+    def version(self) -> str:
+        """Names the spellings and the rules; forms of one version are comparable."""
+        return xxhash.xxh3_128_hexdigest("\n".join(["1", *sorted(self.spellings)]).encode())
+
     def word(self, word: str) -> str:
-        if is_plain(word):
+        if is_plain(word) and word not in self.foreign:
             return word
         self._trie = self._trie or Trie(self.spellings)
         found = self._trie.walk(word)
-        return by_table(skeleton(word)) if found is None else found
+        return by_table(skeleton(word)) if found is None else found[1]
 
     def text(self, text: str) -> str:
         if "\r\n" in text:
             text = text.replace("\r\n", "\n")
-        if odd().isdisjoint(set(text)):
+        if odd().isdisjoint(set(text)) and self.foreign.keys().isdisjoint(PLAIN_WORD.findall(text) if self.foreign else ()):
             return text
         words = WORD.sub(lambda m: self._words[m[0]], text)
         given = table()
         return _given().sub(lambda m: given[ord(m[0])], words)
 
+    def may_change(self, text: Column) -> Column:
+        """Whether a text needs looking at: the others are their own form. One pass in the JVM."""
+        found = text.rlike(_odd_class())
+        if self.foreign:
+            found = found | text.rlike("(?<!\\pL)(?:" + "|".join(sorted(self.foreign)) + ")(?!\\pL)")
+        return F.coalesce(found, F.lit(False))
+
+
+@functools.cache
+def _odd_class() -> str:
+    """Finds any character that is not surely plain, for the JVM: a short class, as that tries range by range; the rest is told exactly later."""
+    points = [cp for cp in (9, 10, *range(0x20, 0x250), *range(0x2012, 0x2028), 0x20AC) if chr(cp) not in odd()]
+    ranges: list[list[int]] = []
+    for cp in points:
+        if ranges and cp == ranges[-1][1] + 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rare, counts = odd(), Counter()
@@ -237,61 +322,85 @@ def is_clean(word: str) -> bool:
     return bool(word) and word == by_table(skeleton(word)) or word.isalpha() and word == unicodedata.normalize("NFKC", word) and all("Ѐ" <= c <= "ԯ" for c in word)
 
 
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(look, word, n, by_table) of words that may be the canonical spelling of their look."""
+    for batch in batches:
+        rows = []
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            look = skeleton(word)
+            if not is_plain(look) or word == look or len(word) >= FOREIGN:
+                rows.append((look, word, n, word == by_table(look)))
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())], names=["look", "word", "n", "by_table"])
+
+
 def vocabulary(texts: DataFrame, column: str = "text", min_count: int = MIN_COUNT, most: int = MAX_VOCABULARY) -> Canon:
     """The canonical spellings of a corpus: for each look the most frequent clean spelling.
 
     Counts every word of every text; spellings seen at least min_count times stand
-    for their look, ties going to the smaller string. Looks that are spelt with
-    plain Latin letters are always spelt so. At most `most` spellings, the most
-    frequent, are held; the words beyond them go by table, which changes how a
-    word is spelt in the form, never which texts share a form.
+    for their look, ties going to the smaller string. A look of Latin letters is
+    spelt in another script only by words of three letters or more. Spellings that
+    the table would not give are held all: their number is that of words which two
+    scripts can write alike. Of the others, `most` are held; the rest goes by table
+    and comes out the same.
     """
     counted = texts.select(column).where(F.col(column).isNotNull()).mapInArrow(_count_words, "word string, n bigint")
     counted = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    rows = counted.orderBy(F.desc("n"), "word").limit(most).collect()
-    best: dict[str, str] = {}
-    for word, _ in rows:
-        look = skeleton(word)
-        best.setdefault(look, look if is_plain(look) else word)
-    return Canon(tuple(best.values()))
+    spelt = counted.mapInArrow(_spelt, "look string, word string, n bigint, by_table boolean")
+    best = cut(spelt.groupBy("look").agg(F.min(F.struct((-F.col("n")).alias("n"), "word", "by_table")).alias("s")).select("s.*"), "spellings")
+    held = best.where("not by_table").collect() + best.where("by_table").orderBy("n", "word").limit(most).collect()
+    return Canon(tuple(sorted(r.word for r in held)))
+
+
+def store_vocabulary(spark: SparkSession, canon: Canon, path: str) -> str:
+    """Writes the spellings under their version, which is returned; the same version is not written again."""
+    where = f"{path.rstrip('/')}/{canon.version}"
+    spark.createDataFrame([(s,) for s in canon.spellings], "spelling string").write.mode("ignore").parquet(where)
+    return canon.version
+
+
+def stored_vocabulary(spark: SparkSession, path: str, version: str) -> Canon:
+    canon = Canon(tuple(sorted(r.spelling for r in spark.read.parquet(f"{path.rstrip('/')}/{version}").collect())))
+    if canon.version != version:
+        raise ValueError(f"the vocabulary under {path} is not of version {version}")
+    return canon
 
 
 def canonical_texts(texts: DataFrame, key: str = "doc_id", column: str = "text", canon: Canon | None = None) -> DataFrame:
     """One row (key, form) for each row: the text in its one form.
 
     A null text stays null, an empty one empty; texts of any length are taken
-    whole. Other columns are dropped, whatever their names.
+    whole. Other columns are dropped, whatever their names. Texts that hold nothing
+    to change do not leave the JVM.
     """
     canon = canon or vocabulary(texts, column)
 
     def run(batches):
         for batch in batches:
-            forms = [None if t is None else canon.text(t) for t in batch.column(1).to_pylist()]
+            forms = [canon.text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=["key", "form"])
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, column).mapInArrow(run, f"key {kind}, form string").withColumnRenamed("key", key)
-
-
-def _hash(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+    rows = texts.select(F.col(key).alias("key"), F.col(column).alias("form"))
+    odd_ones = canon.may_change(F.col("form"))
+    return rows.where(~odd_ones).unionByName(rows.where(odd_ones).mapInArrow(run, f"key {kind}, form string")).withColumnRenamed("key", key)
 
 
 def form_keys(texts: DataFrame, key: str, column: str, canon: Canon) -> DataFrame:
     """(key, form, raw) with 128-bit digests of the form and the raw text of each non-empty text."""
+    digest = lambda c: F.unhex(F.md5(c))
 
     def run(batches):
         for batch in batches:
-            raws = batch.column(1).to_pylist()
-            a = [_hash(t) for t in raws]
-            b = []
-            for t, h in zip(raws, a):
-                form = canon.text(t)
-                b.append(h if form is t else _hash(form))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.binary()), pa.array(a, pa.binary())], names=["key", "form", "raw"])
+            forms = [canon.text(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), batch.column(2)], names=["key", "form", "raw"])
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, column).where(F.col(column).isNotNull() & (F.col(column) != "")).mapInArrow(run, f"key {kind}, form binary, raw binary")
+    rows = texts.where(F.col(column).isNotNull() & (F.col(column) != "")).select(F.col(key).alias("key"), F.col(column).alias("form"))
+    odd_ones = canon.may_change(F.col("form"))
+    plain = rows.where(~odd_ones).select("key", digest("form").alias("form")).withColumn("raw", F.col("form"))
+    changed = rows.where(odd_ones).select("key", "form", digest("form").alias("raw")).mapInArrow(run, f"key {kind}, form string, raw binary")
+    return plain.unionByName(changed.select("key", digest("form").alias("form"), "raw"))
 
 
 def look_groups(texts: DataFrame, key: str = "doc_id", column: str = "text", canon: Canon | None = None) -> DataFrame:

@@ -108,8 +108,11 @@ with dims as (
 #: What characters become, for SQL: spaces, hyphens, full-width forms and look-alike letters, one for one.
 _FROM = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _TO = " " * len(_FROM)
-_FROM += "\u2010\u2011" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "".join(map(chr, lookalike.LOOKS))
-_TO += "--" + "".join(chr(c) for c in range(0x21, 0x7F)) + "".join(lookalike.LOOKS.values())
+_FROM += "\u2010\u2011" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+_TO += "--" + "".join(chr(c) for c in range(0x21, 0x7F))
+# Look-alike letters and the Latin ones, listed for the SQL by themselves.
+for _other, _latin in (("АВЕЅІЈКМНОРСТУХ", "ABESIJKMHOPCTYX"), ("аеѕіјорсухһԁԛԝӏ", "aesijopcyxhdqwl"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"), ("ԚԜҮӀՍՕօ", "QWYIUOo")):
+    _FROM, _TO = _FROM + _other, _TO + _latin
 _QUOTED = _TO.replace("'", "''")
 _FORMS = f"""
 with forms as (
