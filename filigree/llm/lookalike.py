@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.store import cut
@@ -275,26 +275,6 @@ class Canon:
         given = table()
         return _given().sub(lambda m: given[ord(m[0])], words)
 
-    def may_change(self, text: Column) -> Column:
-        """Whether a text needs looking at: the others are their own form. One pass in the JVM."""
-        found = text.rlike(_odd_class())
-        if self.foreign:
-            found = found | text.rlike("(?<!\\pL)(?:" + "|".join(sorted(self.foreign)) + ")(?!\\pL)")
-        return F.coalesce(found, F.lit(False))
-
-
-@functools.cache
-def _odd_class() -> str:
-    """Finds any character that is not surely plain, for the JVM: a short class, as that tries range by range; the rest is told exactly later."""
-    points = [cp for cp in (9, 10, *range(0x20, 0x250), *range(0x2012, 0x2028), 0x20AC) if chr(cp) not in odd()]
-    ranges: list[list[int]] = []
-    for cp in points:
-        if ranges and cp == ranges[-1][1] + 1:
-            ranges[-1][1] = cp
-        else:
-            ranges.append([cp, cp])
-    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rare, counts = odd(), Counter()
@@ -370,37 +350,38 @@ def canonical_texts(texts: DataFrame, key: str = "doc_id", column: str = "text",
     """One row (key, form) for each row: the text in its one form.
 
     A null text stays null, an empty one empty; texts of any length are taken
-    whole. Other columns are dropped, whatever their names. Texts that hold nothing
-    to change do not leave the JVM.
+    whole. Other columns are dropped, whatever their names.
     """
     canon = canon or vocabulary(texts, column)
 
     def run(batches):
         for batch in batches:
-            forms = [canon.text(t) for t in batch.column(1).to_pylist()]
+            forms = [None if t is None else canon.text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=["key", "form"])
 
     kind = dict(texts.dtypes)[key]
-    rows = texts.select(F.col(key).alias("key"), F.col(column).alias("form"))
-    odd_ones = canon.may_change(F.col("form"))
-    return rows.where(~odd_ones).unionByName(rows.where(odd_ones).mapInArrow(run, f"key {kind}, form string")).withColumnRenamed("key", key)
+    return texts.select(key, column).mapInArrow(run, f"key {kind}, form string").withColumnRenamed("key", key)
+
+
+def _hash(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
 def form_keys(texts: DataFrame, key: str, column: str, canon: Canon) -> DataFrame:
-    """(key, form, raw) with 128-bit digests of the form and the raw text of each non-empty text."""
-    digest = lambda c: F.unhex(F.md5(c))
+    """(key, form, raw) with 128-bit digests of the form and the raw text of each non-empty text; texts do not come back from the tasks' Python."""
 
     def run(batches):
         for batch in batches:
-            forms = [canon.text(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string()), batch.column(2)], names=["key", "form", "raw"])
+            raws = batch.column(1).to_pylist()
+            a = [_hash(t) for t in raws]
+            b = []
+            for t, h in zip(raws, a):
+                form = canon.text(t)
+                b.append(h if form is t else _hash(form))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b, pa.binary()), pa.array(a, pa.binary())], names=["key", "form", "raw"])
 
     kind = dict(texts.dtypes)[key]
-    rows = texts.where(F.col(column).isNotNull() & (F.col(column) != "")).select(F.col(key).alias("key"), F.col(column).alias("form"))
-    odd_ones = canon.may_change(F.col("form"))
-    plain = rows.where(~odd_ones).select("key", digest("form").alias("form")).withColumn("raw", F.col("form"))
-    changed = rows.where(odd_ones).select("key", "form", digest("form").alias("raw")).mapInArrow(run, f"key {kind}, form string, raw binary")
-    return plain.unionByName(changed.select("key", digest("form").alias("form"), "raw"))
+    return texts.select(key, column).where(F.col(column).isNotNull() & (F.col(column) != "")).mapInArrow(run, f"key {kind}, form binary, raw binary")
 
 
 def look_groups(texts: DataFrame, key: str = "doc_id", column: str = "text", canon: Canon | None = None) -> DataFrame:
