@@ -1,6 +1,6 @@
 import random
 
-from filigree.llm.leakage import fold, leaks, words_of
+from filigree.llm.leakage import consistent, facts, fold, leaks, words_of
 from filigree.llm.lookalike import Canon
 
 
@@ -41,8 +41,7 @@ def test_against_brute_force(spark):
     docs += [(900, None), (901, ""), (902, "x " * 20000 + items[3][1])]
     want = brute(docs, items)
     assert want
-    for settings in ({}, {"block_windows": 40}):
-        assert found(spark, docs, items, **settings) == want
+    assert found(spark, docs, items) == want
 
 
 def test_reparametrised(spark):
@@ -56,3 +55,42 @@ def test_reparametrised(spark):
 
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a " * 20)]) == {} and found(spark, [(1, "a " * 20)], []) == {}
+
+
+def planted(seed=11, count=40):
+    """Items, documents with a consistent exchange of slots, and documents with an inconsistent one or with other words."""
+    r = random.Random(seed)
+    verbs, nouns = [f"verb{chr(97 + i)}" for i in range(20)], [f"noun{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(6)]
+    names = ["Corilberg", "Zanodale", "Ulmindyne", "Bexford", "Haliport", "Nevicor", "Tarlomont", "Wiloham"]
+    units = ["million", "percent", "tonnes", "euros"]
+    items, renamed, others = [], [], []
+    for i in range(count):
+        a, b = r.sample(names, 2)
+        n, u = r.randint(10, 99), r.choice(units)
+        v, w = r.sample(nouns, 6), r.sample(verbs, 3)
+        shape = f"In {{y}} the {v[0]} of {{a}} {w[0]} {{n}} {{u}} for {v[1]} and {v[2]} while {{b}} {w[1]} the {v[3]} of {{c}} and {w[2]} {v[4]} near {v[5]}"
+        item = shape.format(y=2001 + i % 9, a=a, b=b, c=a, n=n, u=u)
+        c, d = (f"New{x}name" for x in r.sample("abcdefgh", 2))
+        items.append((i, item + ". Some more of it follows here"))
+        renamed.append((1000 + i, shape.format(y=1990, a=c, b=d, c=c, n=n + 100, u=r.choice([x for x in units if x != u]))))
+        others.append((2000 + i, shape.format(y=1990, a=c, b=d, c=d, n=n, u=u)))
+        others.append((3000 + i, item.replace(v[1], "else").replace(v[2], "other").replace(v[3], "thing").replace(v[0], "again")))
+    return items, renamed, others
+
+
+def test_planted_reparametrised_items(spark):
+    items, renamed, others = planted()
+    got = {(d, i) for d, i, verbatim in found(spark, [(d, "Before that. " + t + " and so on.") for d, t in renamed + others], items, reparametrised=True, width=20) if not verbatim}
+    want = {(1000 + i, i) for i, _ in items}
+    recall, precision = len(got & want) / len(want), len(got & want) / max(len(got), 1)
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_kinds_follow_from_all_items(spark):
+    # a name in one item is known as such in every other; capitals of a text that writes its nouns so name nothing
+    english = facts("The board of Ostmar met. Ostmar paid 12 million euros in 2010 and 3 million more")
+    assert english["ostmar"][2] == 1 and english["million"][3] == 2 and english["board"][1] == 1
+    german = facts("Die Gesellschaft hat im Jahr den Umsatz der Gruppe mit Erfolg gesteigert")
+    assert german["umsatz"][2] == 0
+    assert consistent("a x b x", "a y b y", "4242") and not consistent("a x b x", "a y b z", "4242") and not consistent("a x b z", "a y b y", "4242")
