@@ -3,14 +3,15 @@
 Method: every task builds a cluster-feature tree of its rows: leaf entries hold
 number, linear sum and smallest key of the unit vectors absorbed; inner nodes are
 the topics by which entries are found. Leaf entries are merged in rounds of a
-reduction (features add up), what is left is linked over pairs of topics and
-agglomerated by Ward's criterion, and a last pass assigns every row to its
-cluster's centroid.
+reduction (features add up), what is left is linked over pairs of topics, each
+connected component of links is agglomerated by Ward's criterion, and a last pass
+assigns every row to its cluster's centroid.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ TAIL = 0.1
 PRUNED = 0.05
 #: Entries of centroid vectors held by one task; more centroids take more passes.
 BLOCK_ENTRIES = 4_000_000
+#: Cells in which the leaves of each key are counted, and the leaves of one key that a task compares at once.
+KEY_CELLS, KEYED = 1 << 16, 4096
 EPS = 1e-9
 
 
@@ -335,37 +338,91 @@ def _round_key(seed: int) -> Column:
     return F.xxhash64(F.slice(mixed, 1, 2), F.lit(seed))
 
 
-def _pair_keys(cosine: float):
-    """(key, leaf) rows such that leaves similar by `cosine` share a key.
+def _keys_of(means: Sparse, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) such that means similar by `cosine` share a key.
 
-    Of a leaf's mean the strongest topics are taken until at most TAIL of its norm
-    is left. Keys are all pairs of them and single topics of a weight of at least
+    Of a mean the strongest topics are taken until at most TAIL of its norm is left.
+    Keys are all pairs of them and single topics of a weight of at least
     cosine - 2 * TAIL, as the other weight may be 1. Two means that share no such
     key have at most one of the taken topics in common, with a product below that
     bound, and the rest of the dot product is at most 2 * TAIL: they are not similar.
     """
     single = cosine - 2 * TAIL
+    keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(means)):
+        s, e = means.indptr[i : i + 2]
+        t, v = means.topics[s:e], np.abs(means.values[s:e])
+        order = np.argsort(-v, kind="stable")
+        tails = np.sqrt(np.maximum(np.cumsum((v[order] ** 2)[::-1])[::-1], 0))
+        t = np.sort(t[order[tails > TAIL]])
+        x, y = np.triu_indices(len(t), 1)
+        mine = np.concatenate([t[x] * 1_000_003 + t[y] + (1 << 40), means.topics[s:e][v >= single - EPS]])
+        keys.append(mine)
+        owner.append(np.full(len(mine), i))
+    return np.concatenate(owner), np.concatenate(keys)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys) & np.uint64(KEY_CELLS - 1)).astype(np.int64)
+
+
+def _count_keys(cosine: float):
+    """One row a task: packed numbers of leaves in each cell of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(KEY_CELLS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                counts += np.bincount(_cell(_keys_of(_read([batch]).means(), cosine)[1]), minlength=KEY_CELLS)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["cells"])
+
+    return run
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(KEY_CELLS, np.int64)
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            counts += np.frombuffer(zlib.decompress(blob), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["cells"])
+
+
+def _pair_keys(cosine: float, shared, keyed: int):
+    """(key, leaf) rows for leaves that may meet another by a key.
+
+    A key of many leaves is cut into blocks: each leaf goes to the pairs of blocks
+    that its own is part of, so no task holds more of a key than two blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             leaves = _read([batch])
-            means = leaves.means()
-            keys, owner = [], []
-            for i in range(len(means)):
-                s, e = means.indptr[i : i + 2]
-                t, v = means.topics[s:e], np.abs(means.values[s:e])
-                order = np.argsort(-v, kind="stable")
-                tails = np.sqrt(np.maximum(np.cumsum((v[order] ** 2)[::-1])[::-1], 0))
-                t = np.sort(t[order[tails > TAIL]])
-                x, y = np.triu_indices(len(t), 1)
-                mine = np.concatenate([t[x] * 1_000_003 + t[y] + (1 << 40), means.topics[s:e][v >= single - EPS]])
-                keys.append(mine)
-                owner.append(np.full(len(mine), i))
-            rows = pa.array(np.concatenate(owner))
-            out = [pa.array(np.concatenate(keys)), *(batch[k].take(rows) for k in ("n", "least", "topics", "vals"))]
-            yield pa.RecordBatch.from_arrays(out, names=["key", "n", "least", "topics", "vals"])
+            owner, key = _keys_of(leaves.means(), cosine)
+            number = counts[_cell(key)]
+            met = number > 1
+            owner, key, number = owner[met], key[met], number[met]
+            blocks = np.maximum(1, -(-2 * number // keyed)) * (number > keyed) + (number <= keyed)
+            own = (_mix(leaves.least[owner] + 7) % blocks.astype(np.uint64)).astype(np.int64)
+            rows = np.repeat(np.arange(len(key)), blocks)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            low, high = np.minimum(own[rows], other), np.maximum(own[rows], other)
+            split = blocks[rows] > 1
+            name = np.where(split, _mix(_mix(key[rows]).view(np.int64) + low * 1_000_003 + high).view(np.int64), key[rows])
+            at = pa.array(owner[rows])
+            out = [pa.array(name), *(batch[k].take(at) for k in ("n", "least", "topics", "vals"))]
+            for i in range(0, len(name), 16_384):
+                yield pa.RecordBatch.from_arrays([c.slice(i, 16_384) for c in out], names=["key", "n", "least", "topics", "vals"])
 
     return run
 
@@ -431,7 +488,7 @@ def _links(cosine: float):
     return run
 
 
-def centroids(rows: DataFrame, cosine: float = COSINE, key: str = "para_id", column: str = "topic_vec", rounds: int = ROUNDS) -> DataFrame:
+def centroids(rows: DataFrame, cosine: float = COSINE, key: str = "para_id", column: str = "topic_vec", rounds: int = ROUNDS, keyed: int = KEYED) -> DataFrame:
     """(n, least, topics, vals): for every cluster its size, smallest key and the sum of its unit vectors.
 
     All rows with a vector are counted in exactly one cluster, those alone too.
@@ -441,17 +498,41 @@ def centroids(rows: DataFrame, cosine: float = COSINE, key: str = "para_id", col
         # the work of a task grows with the square of its leaves, so their number sets that of the tasks
         tasks = max(1, -(-leaves.count() // MERGED))
         leaves = cut(leaves.withColumn("_key", _round_key(k)).repartition(tasks, "_key").drop("_key").mapInArrow(_reduce(cosine), _LEAF), "leaves")
-    keyed = leaves.mapInArrow(_pair_keys(cosine), "key bigint, " + _LEAF)
-    links = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(cosine), "a bigint, b bigint").distinct(), "links")
-    labels = links.groupBy(F.col("b").alias("leaf")).agg(F.min("a").alias("label"))
-    # similarity is transitive here, so the smallest neighbour names the cluster
-    labelled = leaves.join(labels, leaves.least == labels.leaf, "left").withColumn("label", F.coalesce("label", "least"))
-    alone = labelled.join(labels.select("label").distinct(), "label", "left_anti").select("n", "least", "topics", "vals")
-    several = labelled.join(labels.select("label").distinct(), "label", "left_semi").select("label", "n", "least", "topics", "vals")
+    # counts of a fixed number of cells, added up in two steps
+    tasks = leaves.mapInArrow(_count_keys(cosine), "cells binary")
+    counts = np.zeros(KEY_CELLS, np.int64)
+    for (blob,) in tasks.repartition(8).mapInArrow(_add_counts, "cells binary").collect():
+        counts += np.frombuffer(zlib.decompress(blob), np.int64)
+    shared = leaves.sparkSession.sparkContext.broadcast(counts)
+    met = leaves.mapInArrow(_pair_keys(cosine, shared, keyed), "key bigint, " + _LEAF)
+    links = cut(met.repartition("key").sortWithinPartitions("key").mapInArrow(_links(cosine), "a bigint, b bigint").distinct(), "links")
+    labels = components(links)
+    labelled = leaves.join(labels, leaves.least == labels.leaf, "left")
+    alone = labelled.where("label is null").select("n", "least", "topics", "vals")
+    several = labelled.where("label is not null").select("label", "n", "least", "topics", "vals")
     merged = several.repartition("label").mapInArrow(_reduce(cosine), _LEAF)
     return cut(alone.unionByName(merged), "centroids")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(leaf, label): the smallest leaf of each connected component of links (a, b), for leaves that have any.
+
+    Labels go along links and jump to the label of their label until none changes:
+    two rounds where similarity is transitive, else about the logarithm of the longest chain.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b"), "both")
+    labels = cut(both.groupBy(F.col("a").alias("leaf")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    while True:
+        of = labels.select(F.col("leaf").alias("_leaf"), F.col("label").alias("_label"))
+        near = both.join(of, F.col("b") == F.col("_leaf")).groupBy("a").agg(F.min("_label").alias("_near"))
+        moved = labels.join(near, F.col("leaf") == F.col("a"), "left").select("leaf", F.least("label", F.coalesce("_near", "label")).alias("_new"), F.col("label").alias("_old"))
+        jumped = moved.join(of, F.col("_new") == F.col("_leaf"), "left").select("leaf", F.least("_new", F.coalesce("_label", "_new")).alias("label"), "_old")
+        after = cut(jumped, "labels")
+        labels = after.select("leaf", "label")
+        if after.where("label != _old").isEmpty():
+            return labels
+
+
 def _assign(shared, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, least, indptr, topics, values = shared.value
@@ -465,7 +546,7 @@ def _assign(shared, cosine: float):
             entry, dot = index.best(vectors, cosine)
             hit = np.flatnonzero(entry >= 0)
             e = entry[hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[hit])), pa.array(least[e]), pa.array(n[e]), pa.array(dot[hit]), pa.array(np.minimum(dot[hit] / norms[e], 1.0))], names=["key", "cluster_id", "size", "similarity", "typicality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[hit])), pa.array(least[e]), pa.array(n[e]), pa.array(dot[hit]), pa.array(np.minimum(dot[hit] / norms[e], 1.0)), batch.column(2).take(pa.array(rows[hit]))], names=["key", "cluster_id", "size", "similarity", "typicality", "_row"])
 
     return run
 
@@ -474,7 +555,8 @@ def assign(rows: DataFrame, found: DataFrame, least_size: int = 3, cosine: float
     """(key, cluster_id, size, similarity, typicality) of the rows in clusters of at least least_size.
 
     One pass over the rows for each block of centroids; a block is held by every
-    task and bounded in size. similarity is the mean cosine with the members,
+    task and bounded in size, and of several blocks' centroids a row keeps the most
+    similar one. similarity is the mean cosine with the members,
     typicality the cosine with the centroid.
     """
     spark = rows.sparkSession
@@ -482,7 +564,7 @@ def assign(rows: DataFrame, found: DataFrame, least_size: int = 3, cosine: float
     total = large.agg(F.coalesce(F.sum(F.size("topics")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_entries))
     kind = dict(rows.dtypes)[key]
-    schema = f"key {kind}, cluster_id bigint, size bigint, similarity double, typicality double"
+    schema = f"key {kind}, cluster_id bigint, size bigint, similarity double, typicality double, _row bigint"
     out = None
     for k in range(blocks):
         mine = large if blocks == 1 else large.where(F.pmod(F.xxhash64("least"), F.lit(blocks)) == k)
@@ -490,9 +572,14 @@ def assign(rows: DataFrame, found: DataFrame, least_size: int = 3, cosine: float
         got = _read(table.to_batches()) if table.num_rows else Leaves(np.empty(0, np.int64), Sparse(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0)), np.empty(0, np.int64))
         means = got.means()
         shared = spark.sparkContext.broadcast((got.n, got.least, means.indptr, means.topics, means.values))
-        part = rows.select(F.col(key).alias("key"), column).where(F.size(column) > 0).mapInArrow(_assign(shared, cosine), schema)
+        part = rows.select(F.col(key).alias("key"), column, F.xxhash64(column).alias("_row")).where(F.size(column) > 0).mapInArrow(_assign(shared, cosine), schema)
         out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("key", key)
+    if blocks > 1:
+        # rows that repeat are equal in every block; they are counted, and put out as often again
+        found_by = out.groupBy("key", "_row", "cluster_id", "size", "similarity", "typicality").agg(F.count(F.lit(1)).alias("_n"))
+        best = F.max_by(F.struct("cluster_id", "size", "similarity", "typicality", "_n"), F.struct("similarity", -F.col("cluster_id")))
+        out = found_by.groupBy("key", "_row").agg(best.alias("_b")).select("key", "_row", "_b.*").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n")
+    return out.drop("_row").withColumnRenamed("key", key)
 
 
 def clustered(rows: DataFrame, cosine: float = COSINE, least_size: int = 3, key: str = "para_id", column: str = "topic_vec") -> DataFrame:

@@ -1,7 +1,9 @@
 import math
 import random
 
-from filigree.llm.clusters import assign, centroids, clustered, typical_members
+import pytest
+
+from filigree.llm.clusters import assign, centroids, clustered, components, typical_members
 
 ROWS = "para_id bigint, topic_vec array<struct<topic:int,val:double>>, size int, n int, key int"
 
@@ -56,6 +58,34 @@ def test_blocks_of_centroids(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("settings", [{"rounds": 0}, {"rounds": 0, "keyed": 4}, {"keyed": 2}])
+def test_large_keys_in_blocks(spark, settings):
+    # most rows are single ones and share a topic pair, so its key is that of many leaves
+    r = random.Random(9)
+    rows = [(i, [(1, 0.3), (2, 0.3)] + [(t, r.uniform(-1, 1)) for t in r.sample(range(10, 500), 6)], 1, 2, 3) for i in range(300)]
+    rows += [(300 + i, v, *rest) for i, v, *rest in rows_of(4, 8, 0)]
+    df = spark.createDataFrame(rows, ROWS).repartition(6)
+    got = {r.para_id: (r.cluster_id, r.size) for r in assign(df, centroids(df, **settings)).collect()}
+    assert got == brute(rows)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (100, 102), (200, 201)]
+    random.Random(1).shuffle(chain)
+    got = {r.leaf: r.label for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in (100, 101, 102)} | {200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_blocks_agree_where_similarity_is_not_transitive(spark):
+    # vectors on an arc: each is like its neighbours, the ends are not like each other
+    rows = [(i, [(1, math.cos(a)), (2, math.sin(a))], 1, 2, 3) for i, a in enumerate(k * math.pi / 60 for k in range(30))] + [(0, [(1, 1.0), (2, 0.0)], 1, 2, 3)]
+    df = spark.createDataFrame(rows, ROWS).repartition(4)
+    found = centroids(df, rounds=0)
+    one, many = (sorted((r.para_id, r.cluster_id) for r in assign(df, found, block_entries=n).collect()) for n in (1000, 1))
+    assert one == many and len(one) == 31
+
+
 def test_one_topic_against_two_across_partitions(spark):
     # cosine 0.705 by one shared topic, of weights 1 and 0.705; no rounds, so that only the keys bring them together
     vec = "if(id = 1, array(struct(1 as topic, 1D as val)), array(struct(1 as topic, 0.705D as val), struct(2 as topic, 0.709D as val))) as topic_vec"
