@@ -594,6 +594,9 @@ def clustered(rows: DataFrame, cosine: float = COSINE, least_size: int = 3, key:
 
 
 def typical_members(members: DataFrame, k: int = 3, key: str = "para_id") -> DataFrame:
-    """The k members nearest to the centroid of each cluster, ties by key: cluster_id, size, rank, key, typicality."""
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("typicality"), key)
+    """The k members nearest to the centroid of each cluster: cluster_id, size, rank, key, typicality.
+
+    Nine decimals of typicality count, so that sums in another order do not change the ranks; ties go by key.
+    """
+    order = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("typicality", 9)), key)
     return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("cluster_id", "size", "rank", key, "typicality")

@@ -144,6 +144,35 @@ select para_id_a, para_id_b
 from shared join sizes s on s.para_id = para_id_a join sizes t on t.para_id = para_id_b
 where 4 * least >= 3 * (s.size + t.size - least)
 """,
+    "p2_classes": """
+with sets as (
+    select para_id, case when cardinality(counter) > 0 then list_sort(map_entries(counter))::varchar end as name from para_stems
+), named as (
+    select para_id, name, min(para_id) over (partition by name) as class_id, count(*) over (partition by name) as copies from sets where name is not null
+), grams as (
+    select para_id, unnest(map_keys(counter)) as stem, unnest(map_values(counter)) as n from para_stems where para_id in (select class_id from named)
+), sizes as (
+    select para_id, sum(n) as size from grams group by para_id
+), shared as (
+    select a.para_id as a, b.para_id as b, sum(least(a.n, b.n)) as least from grams a join grams b on a.stem = b.stem and a.para_id <> b.para_id group by 1, 2
+), links as (
+    select a as class_id, count(*) as links from shared join sizes s on s.para_id = a join sizes t on t.para_id = b where 4 * least >= 3 * (s.size + t.size - least) group by 1
+)
+select para_id, coalesce(class_id, para_id) as class_id, coalesce(copies, 1) as copies, coalesce(links, 0) as links
+from sets left join named using (para_id) left join links using (class_id)
+""",
+    "p3_typical": _UNIT
+    + """, members as (select * from clusters where size >= 3
+), sums as (
+    select cluster_id, topic, sum(val) as val from members join unit using (para_id) group by all
+), norms as (
+    select cluster_id, sqrt(sum(val * val)) as norm from sums group by 1
+), typical as (
+    select para_id, cluster_id, any_value(size) as size, sum(u.val * s.val) / any_value(norm) as typicality
+    from members join unit u using (para_id) join sums s using (cluster_id, topic) join norms using (cluster_id) group by all
+), ranked as (
+    select *, row_number() over (partition by cluster_id order by round(typicality, 9) desc, para_id) as rank from typical
+) select cluster_id, size, rank, para_id, round(typicality, 6) as typicality from ranked where rank <= 3""",
     "p3_found": _UNIT + "select para_id, cluster_id from clusters where size >= 3",
     "p4_found": _ENTRIES + "select field, term, mark from marked where mark is not null",
     "p4_counts": _ENTRIES + "select field, term, total, records, mark from marked",
