@@ -55,3 +55,27 @@ def quarter_bounds(year: Column, qtr: Column) -> tuple[Column, Column]:
 def positive_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Sums by key; what does not come out positive is dropped."""
     return df.groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
+
+
+def common(a: Column, b: Column) -> Column:
+    return F.array_intersect(a, b)
+
+
+def either(a: Column, b: Column) -> Column:
+    return F.array_union(a, b)
+
+
+def zipped(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of two aligned tables side by side: by the key that both carry, not by place, so partitions need not agree."""
+    return a.join(b, key)
+
+
+def sampled(df: DataFrame, part: float, seed: int = 0, most: int | None = None) -> DataFrame:
+    """Each row with the chance `part`, up to `most` rows."""
+    out = df.sample(part, seed=seed)
+    return out if most is None else out.limit(most)
+
+
+def taken(df: DataFrame, n: int, order: list) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)

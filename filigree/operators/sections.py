@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filigree import result
 from filigree.functions import text as T
+from filigree.sources import sgml
 from filigree.sources.decode import decode_bytes, unescape
 
 
@@ -52,7 +53,23 @@ def good_rate(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, rank, value): a group's values in ascending order, ready to plot."""
-    from pyspark.sql import Window
+    """(by, rank, value): a group's values in ascending order, nulls first, ready to plot.
 
-    return df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(value)).alias("rank"), value)
+    Rows are placed by one sort over ranges of group and value; a group's first
+    place is taken off, so no group is brought into one task.
+    """
+    from filigree.operators.terms import ranks
+
+    placed = ranks(df.select(*by, value), [*[F.col(c).asc_nulls_first() for c in by], F.col(value).asc_nulls_first()], "_place")
+    first = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_place").alias("_first"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return placed.join(first, same).select(*by, (F.col("_place") - F.col("_first") + 1).alias("rank"), value)
+
+
+def from_forms(filings: DataFrame, submissions: DataFrame, early: Column) -> DataFrame:
+    """filings with `section` and `error`: the main document of each one's submission, its paragraphs without the header, and the section in them."""
+    forms = sgml.raw_forms(filings, submissions)
+    found = paragraphs(forms, text="form", main=F.lit(True))
+    return sections(found, early)

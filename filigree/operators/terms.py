@@ -42,26 +42,52 @@ def phrases(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return result.once(sentence, "words", kept_tokens(F.col("_s"))).select(*key, "words").where(F.size("words") > 0)
 
 
-def ngram_rows(texts: DataFrame, key: list[str], text: str = "text", n: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(key, n, term): every n-gram of lemmas within a sentence; terms are joined by a space, that of n = 0 is empty, once per token."""
-    lemmas = result.once(phrases(texts, key, text), "l", F.transform("words", lemma))
+def lemmas_of(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, l): the lemmas of each sentence's kept tokens."""
+    return result.once(phrases(texts, key, text), "l", F.transform("words", lemma))
+
+
+def ngram_counts(texts: DataFrame, by: list[str], text: str = "text", n: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """(by, n, term, cnt): n-grams of lemmas within sentences, joined by a space; that of n = 0 is empty and counts all tokens.
+
+    One aggregation, partial sums before the shuffle; by may be empty for the whole
+    collection. Tokens are added up by sentence for n = 0.
+    """
+    found = lemmas_of(texts, by, text)
 
     def grams(k: int) -> Column:
-        found = ngrams(F.col("l"), k) if k else F.transform("l", lambda _: F.lit(""))
-        return F.transform(found, lambda t: F.struct(F.lit(k).alias("n"), t.alias("term")))
+        if not k:
+            return F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("term"), F.size("l").cast("bigint").alias("_c")))
+        return F.transform(ngrams(F.col("l"), k), lambda t: F.struct(F.lit(k).alias("n"), t.alias("term"), F.lit(1).cast("bigint").alias("_c")))
 
-    every = [grams(k) for k in n]
-    return lemmas.select(*key, F.inline(F.concat(*every)))
+    return found.select(*by, F.inline(F.concat(*[grams(k) for k in n]))).groupBy(*by, "n", "term").agg(F.sum("_c").alias("cnt"))
 
 
-def ngram_counts(texts: DataFrame, by: list[str], text: str = "text", n: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
-    """(by, n, term, cnt): one aggregation, partial sums before the shuffle; by may be empty for the whole collection."""
-    return ngram_rows(texts, by, text, n).groupBy(*by, "n", "term").agg(F.count(F.lit(1)).alias("cnt"))
+TERM = ("kind", "n", "term", "word")
+
+
+def all_terms(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """(by, kind, n, term, word, cnt): everything that is counted of texts, in one table.
+
+    kind is `entity`, `ngram` (n from 0 to 3) or `stem` (word is the surface form);
+    n and word are null where they do not apply. by may name paragraphs, documents,
+    quarters or nothing: sums of finer groups are those of coarser ones.
+    """
+    none, no_word = F.lit(None).cast("int"), F.lit(None).cast("string")
+    entities = entity_counts(texts, by, text).select(*by, F.lit("entity").alias("kind"), none.alias("n"), "term", no_word.alias("word"), "cnt")
+    grams = ngram_counts(texts, by, text).select(*by, F.lit("ngram").alias("kind"), "n", "term", no_word.alias("word"), "cnt")
+    stems = stem_words(texts, by, text).select(*by, F.lit("stem").alias("kind"), none.alias("n"), F.col("stem").alias("term"), "word", "cnt")
+    return entities.unionByName(grams).unionByName(stems)
 
 
 def rolled_up(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of finer groups added up to coarser ones."""
-    return counts.groupBy(*by, "n", "term").agg(F.sum("cnt").alias("cnt"))
+    """Counts of all_terms() for finer groups added up to coarser ones."""
+    return counts.groupBy(*by, *TERM).agg(F.sum("cnt").alias("cnt"))
+
+
+def paragraphs_of(sections: DataFrame, key: list[str], text: str = "text", least_chars: int = 1000) -> DataFrame:
+    """(key, para_no, para): the lines of sections of enough characters."""
+    return sections.where(F.length(text) > least_chars).select(*key, F.posexplode(F.split(text, "\n")).alias("para_no", "para"))
 
 
 def entity_counts(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -182,8 +208,18 @@ def bigram_likelihood(counts: DataFrame, least: int = 1) -> DataFrame:
 
 
 def paragraph_stems(sections: DataFrame, key: list[str], text: str = "text", least_chars: int = 1000, least_stems: int = 50) -> DataFrame:
-    """(key, para_no, stems, length): of sections of enough characters the paragraphs of enough distinct stems."""
-    good = sections.where(F.length(text) > least_chars)
-    paras = good.select(*key, F.posexplode(F.split(text, "\n")).alias("para_no", "_p"))
-    stems = paras.select(*key, "para_no", F.transform(kept_tokens(F.col("_p")), lemma).alias("_l"))
-    return stems.where(F.size(F.array_distinct("_l")) > least_stems).select(*key, "para_no", F.array_distinct("_l").alias("stems"), F.size("_l").alias("length"))
+    """(key, para_no, counter, length): of sections of enough characters the paragraphs of enough distinct stems, with the count of each."""
+    words = paragraphs_of(sections, key, text, least_chars).select(*key, "para_no", F.explode(kept_tokens(F.col("para"))).alias("_w"))
+    counts = words.groupBy(*key, "para_no", lemma(F.col("_w")).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.groupBy(*key, "para_no").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_n"))).alias("counter"), F.sum("_n").alias("length"))
+    return found.where(F.size("counter") > least_stems)
+
+
+def quarter_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, paragraphs, words, stems, forms): records with a counter, their lengths, and the distinct stems and surface forms of each group."""
+    held = rows.where("counter is not null")
+    sums = held.groupBy(*by).agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("length").alias("words"))
+    # forms by stem are added up first, so distinct ones are counted from few rows
+    forms = stems_of_maps(held, by)
+    each = forms.groupBy(*by, "stem").agg(F.count(F.lit(1)).alias("_f")).groupBy(*by).agg(F.count(F.lit(1)).alias("stems"), F.sum("_f").alias("forms"))
+    return sums.join(each, by)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,38 +50,99 @@ def project(weights: DataFrame, topics: DataFrame, key: str = "doc_id", term: st
     return both.groupBy(key, "topic").agg(F.sum(F.col("weight") * F.col("_v")).alias("val"))
 
 
-def lsi(bow: DataFrame, words: int, k: int) -> tuple[list[float], DataFrame]:
-    """(singular values, topics): latent semantic indexing of bags (bow: array of (idx, val)) over `words` columns.
-
-    The distributed Gram matrix (words squared) comes to the driver, which takes it
-    apart once; records are read once, whatever k. topics is (topic, word_id,
-    weight). Signs of vectors are arbitrary; values of zero are left out.
+#: Records whose pairs of words are added up at once, and rows of the matrix that go together.
+CHUNK, SLAB = 2048, 128
+#: Words up to which the matrix of pairs, words squared, is taken apart by the driver.
+MOST_WORDS = 20_000
+
+
+def _pairs(words: int):
+    """(slab, sums): sums over records of products of two words, the upper triangle in slabs of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((words, words))
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                column = batch.column(0).slice(start, CHUNK)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = pc.list_flatten(column)
+                index, value = pc.struct_field(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.struct_field(flat, 1).to_numpy(zero_copy_only=False)
+                # every entry with those from itself on in its record, which come in order of the words
+                ends = np.repeat(np.cumsum(sizes), sizes)
+                partners = ends - np.arange(len(index))
+                a = np.repeat(np.arange(len(index)), partners)
+                b = a + np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners)
+                place = index[a] * words + index[b]
+                order = np.argsort(place, kind="stable")
+                place, product = place[order], (value[a] * value[b])[order]
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                if len(first):
+                    gram.ravel()[place[first]] += np.add.reduceat(product, first)
+        for slab in range(0, words, SLAB):
+            yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([zlib.compress(gram[slab : slab + SLAB, slab:].tobytes(), 1)], pa.binary())], names=["slab", "sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slab, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            mine = np.frombuffer(zlib.decompress(blob))
+            held[slab] = held[slab] + mine if slab in held else mine
+    for slab, sums in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["slab", "sums"])
+
+
+def lsi(bow: DataFrame, words: int, k: int, tasks: int | None = None) -> tuple[list[float], DataFrame]:
+    """(singular values, topics): latent semantic indexing of bags (bow: array of (idx, val) by idx) over `words` columns.
+
+    Records are read once, whatever k: tasks add up products of words that stand
+    together, of which the sum, words squared, comes to the driver to be taken
+    apart. Records are brought into `tasks` parts (those of the session's shuffles
+    if not given), as each gives sums of the size of the matrix. topics is (topic,
+    word_id, weight). Signs of vectors are arbitrary; values of zero are left out.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = bow.select("bow").rdd.map(lambda r: Vectors.sparse(words, [(e["idx"], e["val"]) for e in r["bow"]]))
-    squares, vectors = np.linalg.eigh(RowMatrix(rows, numCols=words).computeGramianMatrix().toArray())
+    if words > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words: their matrix does not fit the driver")
+    spark = bow.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = bow.select("bow").coalesce(tasks).mapInArrow(_pairs(words), "slab int, sums binary").repartition("slab").mapInArrow(_added, "slab int, sums binary")
+    gram = np.zeros((words, words))
+    for slab, blob in sums.toLocalIterator():
+        rows = min(SLAB, words - slab)
+        gram[slab : slab + rows, slab:] = np.frombuffer(blob).reshape(rows, words - slab)
+    squares, vectors = np.linalg.eigh(gram, UPLO="U")
     values = np.sqrt(np.maximum(squares[::-1][:k], 0))
     values = values[values > 1e-9 * values[:1].max(initial=0)]
     found = len(values)
     # one row a topic; words are told apart only in the tasks
     lists = pa.ListArray.from_arrays(pa.array(np.arange(found + 1, dtype=np.int32) * words), pa.array(vectors[:, ::-1][:, :found].T.ravel()))
-    table = bow.sparkSession.createDataFrame(pa.table({"topic": np.arange(found, dtype=np.int32), "_v": lists}))
+    table = spark.createDataFrame(pa.table({"topic": np.arange(found, dtype=np.int32), "_v": lists}))
     return values.tolist(), table.select("topic", F.posexplode("_v").alias("word_id", "weight"))
 
 
-def lda(bow: DataFrame, words: int, k: int = 20, iterations: int = 10, seed: int = 0) -> DataFrame:
-    """(topic, word_id, weight): latent Dirichlet allocation of bags, online over mini-batches."""
+def lda(counts: DataFrame, vocabulary: DataFrame, key: str, k: int = 20, iterations: int = 10, seed: int = 0, term: str = "stem") -> DataFrame:
+    """(topic, term, weight): latent Dirichlet allocation of records' counts (key, term, cnt), online over mini-batches.
+
+    Sparse vectors are made in the JVM from the words of the vocabulary, which the
+    model holds as a whole.
+    """
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
-    from filigree.store import cut
+    from filigree.store import cut, discard
 
-    sparse = F.udf(lambda found: Vectors.sparse(words, [(e["idx"], e["val"]) for e in found]), VectorUDT())
+    words = [r[0] for r in vocabulary.select(term, "word_id").orderBy("word_id").select(term).toLocalIterator()]
+    if not words:
+        return vocabulary.sparkSession.createDataFrame([], f"topic int, {term} string, weight double")
+    records = counts.groupBy(key).agg(F.flatten(F.collect_list(F.array_repeat(F.col(term), F.col("cnt").cast("int")))).alias("_words"))
+    vectors = CountVectorizerModel.from_vocabulary(words, inputCol="_words", outputCol="features").transform(records).select("features")
     # written once: each mini-batch reads the records again
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(cut(bow.select(sparse("bow").alias("features")), "features"))
-    best = model.describeTopics(words)
-    return best.select("topic", F.arrays_zip("termIndices", "termWeights").alias("_z")).select("topic", F.explode("_z").alias("_e")).select("topic", F.col("_e.termIndices").alias("word_id"), F.col("_e.termWeights").alias("weight"))
+    held = cut(vectors, "features")
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(held)
+    best = model.describeTopics(len(words))
+    out = best.select("topic", F.arrays_zip("termIndices", "termWeights").alias("_z")).select("topic", F.explode("_z").alias("_e")).select("topic", F.col("_e.termIndices").alias("word_id"), F.col("_e.termWeights").alias("weight"))
+    out = cut(out, "topics")
+    discard(held)
+    return out.join(vocabulary.select("word_id", term), "word_id").select("topic", term, "weight")

@@ -12,6 +12,8 @@ from filigree.functions import collections as C
 from filigree.functions import text as T
 from filigree.operators import badrows, reports, sections, terms, topics
 from filigree.sources import index, sgml
+from filigree.sources.decode import unescape
+from filigree.store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,18 +141,58 @@ def union_quarters(spark, folder):
     return f.where("year <= 2000").drop("year").unionByName(f.where("year > 2000").drop("year"))
 
 
+@query("select url, year, qtr, line_no, loaded_at from filings where year between 1996 and 2004")
+def index_year_range(spark, folder):
+    return index.year_range(read(spark, folder, "filings"), 1996, 2004).select("url", "year", "qtr", "line_no", "loaded_at")
+
+
+@query(
+    _INDEX
+    + """, good as (select l.line_id, l.index_file, l.line_no, n.form_type, cik, date_filed, year, qtr from named n join index_lines l using (line_id) where k >= 5 and cik is not null and date_filed is not null),
+    o as (select *, row_number() over (partition by index_file order by line_no) as i from good),
+    s as (select *, i - row_number() over (partition by index_file order by i) as island from o where form_type = '10-K'), f as (select index_file, min(island) as island from s group by 1),
+    m as (select line_id, list_position(h, 'Filename') as file_at, e from five)
+    select line_id, array_to_string(list_filter([case when not (cik > 1000 or cik = 20) then 'cik' end,
+    case when not (date_filed > make_date(year, 1, 1) + (qtr - 1) * 87 and date_filed < make_date(year, 1, 1) + cast(floor(qtr * 91.5) as int)) then 'date_filed' end,
+    case when not contains('https://www.sec.gov/Archives/' || e[file_at], cast(cik as varchar)) then 'url' end], lambda x: x is not null), ',') as violations from s join f using (index_file, island) join m using (line_id)"""
+)
+def index_scan(spark, folder):
+    return index.scan(read(spark, folder, "index_lines"), "10-K").select("line_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("select f.url, f.loaded_at, l.line_id from filings f join index_lines l on f.index_file = l.index_file and f.line_no = l.line_no")
+def zip_by_key(spark, folder):
+    lines = read(spark, folder, "index_lines").select("index_file", "line_no", "line_id")
+    return C.zipped(read(spark, folder, "filings").select("index_file", "line_no", "url", "loaded_at"), lines, ["index_file", "line_no"]).select("url", "loaded_at", "line_id")
+
+
+@query("select year, cik, para_no, para_id from para_stems")
+def rekeyed(spark, folder):
+    return read(spark, folder, "para_stems").select("year", "cik", "para_no", "para_id")
+
+
+@query("select i as n, i * i as square from range(1000) t(i)")
+def integer_range(spark, folder):
+    return spark.range(0, 1000, 1, 4).select(F.col("id").alias("n"), (F.col("id") * F.col("id")).alias("square"))
+
+
+@query("select * from (values (0, 'a'), (1, 'b'), (2, 'c')) t(n, item)")
+def item_sequence(spark, folder):
+    return spark.createDataFrame(list(enumerate("abc")), "n int, item string")
+
+
 # ---- submissions
 
-_SUBMISSION = """'<SEC-DOCUMENT>x' || chr(10) || '<DOCUMENT>' || chr(10) || '<TYPE>' || case when doc_id % 4 = 0 then 'EX-1' else form_type end || chr(10) || '<SEQUENCE>1' || chr(10)
-    || '<TEXT>' || text || '</TEXT>' || chr(10) || '</DOCUMENT>' || case when doc_id % 3 = 0 then '' else '<DOCUMENT><TYPE>' || form_type || '</TYPE><FILENAME>b.txt' || chr(10) || '<TEXT>second ' || doc_id || '</TEXT></DOCUMENT>' end || '<DOCUMENT>no text</DOCUMENT>'"""
+_SUBMISSION = """'<SEC-DOCUMENT>x' || chr(10) || '<DOCUMENT>' || chr(10) || '<TYPE>' || case when doc_id % 4 = 0 then 'EX-1' else coalesce(form_type, 'NONE') end || chr(10) || '<SEQUENCE>1' || chr(10)
+    || '<TEXT>' || text || '</TEXT>' || chr(10) || '</DOCUMENT>' || case when doc_id % 3 = 0 then '' else '<DOCUMENT><TYPE>' || coalesce(form_type, 'NONE') || '</TYPE><FILENAME>b.txt' || chr(10) || '<TEXT>second ' || doc_id || '</TEXT></DOCUMENT>' end || '<DOCUMENT>no text</DOCUMENT>'"""
 
 
 def _submissions(spark: SparkSession, folder: str) -> DataFrame:
-    d = read(spark, folder, "documents").where("text is not null and form_type is not null and not contains(text, '<')")
+    d = read(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", "form_type", F.expr(_SUBMISSION.replace("chr(10)", "'\\n'")).alias("submission"))
 
 
-_DOCS = f"""with s as (select doc_id, form_type, {_SUBMISSION} as x from documents where text is not null and form_type is not null and not contains(text, '<')),
+_DOCS = f"""with s as (select doc_id, form_type, {_SUBMISSION} as x from documents where text is not null),
     d as (select doc_id, form_type, unnest(regexp_extract_all(x, '(?s)<DOCUMENT>(.*?)</DOCUMENT>', 1)) as d, generate_subscripts(regexp_extract_all(x, '(?s)<DOCUMENT>(.*?)</DOCUMENT>', 1), 1) as k from s),
     t as (select doc_id, form_type, k, regexp_extract(d, '(?s)<TYPE>(.*?)[\\n<]', 1) as type, regexp_extract(d, '(?s)<TEXT>(.*?)</TEXT>', 1) as text from d where contains(d, '<TEXT>'))"""
 
@@ -170,17 +212,18 @@ def sgml_main_document(spark, folder):
 
 # ---- paragraphs and sections
 
-_HTML = """'<html><head><title>T' || doc_id || '</title></head><body>' || chr(10) || '<p class="a">' || replace(text, chr(10), '</p>' || chr(10) || '<p>') || '</p><DIV>end</DIV><span>tail</span></body></html>'"""
+_HTML = """'<html><head><meta charset="utf-8"><title>T' || doc_id || '</title></head><body>' || chr(10) || '<p class="a">' || replace(text, chr(10), '</p>' || chr(10) || '<p>') || '</p><p>caf&eacute; &amp; 3 &lt; 4</p><DIV>end</DIV><span>tail</span></body></html>'"""
 
 
 @query(
     f"""with h as (select doc_id, {_HTML} as x from documents where text is not null),
     p as (select doc_id, string_split(regexp_replace(regexp_replace(replace(replace(x, chr(10), ' '), chr(13), ' '), '</(?:p|div|tr|h1|h2|h3|h4|h5|title|P|DIV|TR|H1|H2|H3|H4|H5|TITLE)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) as p from h)
-    select doc_id, generate_subscripts(p, 1) - 1 as para_no, unnest(p) as text from p"""
+    select doc_id, generate_subscripts(p, 1) - 1 as para_no, unnest(list_transform(p, lambda t: replace(replace(replace(t, '&eacute;', 'é'), '&lt;', '<'), '&amp;', '&'))) as text from p"""
 )
 def html_paragraphs(spark, folder):
     d = read(spark, folder, "documents").where("text is not null")
-    return d.select("doc_id", F.expr(_HTML.replace("chr(10)", "'\\n'")).alias("x")).select("doc_id", F.posexplode(T.html_paragraphs(F.col("x"))).alias("para_no", "text"))
+    raw = d.select("doc_id", F.encode(F.expr(_HTML.replace("chr(10)", "'\\n'")), "utf-8").alias("raw"))
+    return sections.decoded(raw).select("doc_id", F.posexplode(T.html_paragraphs(F.col("text"), unescape)).alias("para_no", "text"))
 
 
 _CLEAN = f"""
@@ -250,6 +293,44 @@ def section_extract(spark, folder):
     return out.select("doc_id", F.col("error.type").alias("error"), F.inline(F.array(T.section_summary(F.col("section")))))
 
 
+_EARLY = "coalesce(year < 2006, false)"
+_FORM = f"""case when doc_id % 6 = 0 then 'Part I' || sep || 'Part I' || sep || 'PART I.' || sep when doc_id % 6 = 1 then 'cover' || sep || 'Part I' || sep else '' end
+    || case when {_EARLY} then 'Item 7. Management''s discussion' else 'Item 1A. Risk Factors' end || sep || text || sep || case when doc_id % 11 = 3 then 'the end' when {_EARLY} then 'Item 8. Financial statements' else 'Item 2. Properties' end || sep || 'last words'"""
+_PARTED = f"""select *, {_FORM} as body from (select doc_id, form_type, year, text, case when regexp_matches(text, '</(p|div|td|P|DIV|TD)>') then '</p>' else chr(10) || chr(10) end as sep from documents where text is not null)"""
+_SECTIONS = _DOCS.replace("from documents where text is not null)", "from bodies)").replace("|| text ||", "|| body ||").replace("with s as", f"with bodies as ({_PARTED}), s as")
+
+
+@query(
+    _SECTIONS
+    + f""", m as (select doc_id, arg_min(text, k) as form from t where type = form_type group by 1),
+    f as (select b.doc_id, {_EARLY} as early, m.form, regexp_matches(m.form, '</(p|div|td|P|DIV|TD)>') as html from bodies b left join m using (doc_id)),
+    """
+    + _CLEAN[_CLEAN.index("b as (") : _CLEAN.index("d as (")].replace("from a)", "from (select *, form as text from f))")
+    + f"""dd as (select *, case when html then string_split(regexp_replace(regexp_replace(replace(replace(form, chr(10), ' '), chr(13), ' '), '</(?:p|div|tr|h1|h2|h3|h4|h5|title|P|DIV|TR|H1|H2|H3|H4|H5|TITLE)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1))
+        else string_split(replace(replace(regexp_replace(y, '\\n{_WS}*\\n', '<br />', 'g'), '-' || chr(10), ''), chr(10), ' '), '<br />') end as raw from c),
+    """
+    + _CLEAN[_CLEAN.index("e as (") : _CLEAN.index("f as (")].replace("from d)", "from dd)")
+    + """g as (select *, case when form is null then 'ParseError' when not html and contains(replace(form, chr(13) || chr(10), chr(10)), chr(13)) then 'ValueError' when len(list_filter(cleaned, lambda p: length(p) <> strlen(p))) > 0 then 'AssertionError' end as failed,
+        list_filter(cleaned, lambda p: length(regexp_replace(p, '[^a-zA-Z]+', '', 'g')) > 3 and not (contains(lower(regexp_replace(p, '[^a-zA-Z]+', '', 'g')), 'tableofcontents') and length(regexp_replace(p, '[^a-zA-Z]+', '', 'g')) <= 19)) as q from e),
+    h as (select *, list_filter(range(1, len(q) + 1), lambda i: regexp_matches(q[i], '(?i)^part i\\.?$')) as hits from g),
+    i as (select *, case when failed is not null then failed when len(hits) > 2 then 'ParseError' end as second, case when len(hits) = 0 then q else q[hits[len(hits)]:] end as r from h),
+    j as (select *, list_filter(range(1, len(r) + 1), lambda i: regexp_matches(r[i], case when early then '(?i)^item 7.? ?(management''s discussion)?' else '(?i)^item 1a.? ?(risk factors.*)?$' end)) as starts,
+        list_filter(range(1, len(r) + 1), lambda i: regexp_matches(r[i], case when early then '(?i)^item 8.? ?(financial statements)?' else '(?i)^item 2.? ?(properties.*)?$' end)) as stops from i),
+    l as (select *, case when second is not null then second when len(starts) <> 1 or len(stops) <> 1 then 'ParseError' end as error from j)
+    select doc_id, error, case when error is null then len(r[starts[1] + 1 : stops[1] - 1]) else -1 end as paragraphs, case when error is null then coalesce(list_sum(list_transform(r[starts[1] + 1 : stops[1] - 1], lambda t: length(t))), 0) else -1 end::bigint as chars from l"""
+)
+def sections_from_forms(spark, folder):
+    d = read(spark, folder, "documents").where("text is not null")
+    html = F.when(T.is_html(F.col("text")), "</p>").otherwise("\n\n")
+    form = F.expr(_FORM.replace("Management''s", "Management\\'s"))
+    d = d.select("doc_id", "form_type", F.expr(_EARLY).alias("early"), "year", "text", html.alias("sep")).withColumn("text", form)
+    filings = d.select("doc_id", "form_type", "early", F.concat(F.lit("u"), "doc_id").alias("url"))
+    submissions = d.select(F.concat(F.lit("u"), "doc_id").alias("url"), F.expr(_SUBMISSION.replace("chr(10)", "'\\n'")).alias("submission"))
+    out = sections.from_forms(filings, submissions, F.col("early"))
+    summary = T.section_summary(F.col("section"))
+    return out.select("doc_id", F.col("error.type").alias("error"), F.inline(F.array(summary))).drop("excerpt")
+
+
 @query()
 def filing_paragraphs(spark, folder):
     forms = read(spark, folder, "raw_forms").select("form_id", "form_type", F.coalesce("bhtml", "btext").alias("raw"))
@@ -312,9 +393,12 @@ def zerogram(spark, folder):
     return terms.ngram_counts(read(spark, folder, "documents"), ["lang"], n=(0,)).select("lang", "cnt")
 
 
-@query(f"{_grams(1, 'lang, ')}, c as (select lang, term, count(*) as cnt from g group by all) select lang, term, cnt, row_number() over (partition by lang order by cnt desc, term) as rank from c qualify rank <= 10")
+@query(
+    f"""{_WORDS}, g as (select lang, 1 as n, unnest(l) as term from l union all select lang, 2, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) from l),
+    c as (select lang, n, term, count(*) as cnt from g group by all) select lang, n, term, cnt, row_number() over (partition by lang, n order by cnt desc, term) as rank from c qualify rank <= 10"""
+)
 def topk_terms_per_group(spark, folder):
-    return terms.top_per_group(terms.ngram_counts(read(spark, folder, "documents"), ["lang"], n=(1,)).drop("n"), ["lang"], 10)
+    return terms.top_per_group(terms.ngram_counts(read(spark, folder, "documents"), ["lang"], n=(1, 2)), ["lang", "n"], 10)
 
 
 @query("""select lang, lower(e) as term, count(*) as cnt from (select lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) as e from documents) group by all""")
@@ -327,6 +411,61 @@ def stem_words(spark, folder):
     return terms.stem_words(read(spark, folder, "documents"), [])
 
 
+def _all_terms(by: str, source: str) -> str:
+    """SQL of all terms by some columns of paragraphs `p` of a source."""
+    return rf"""with s as (select {by}unnest(string_split_regex(p, '[.!?]+([ \n\t]|\z)')) as s from {source}),
+    k as (select {by}list_filter(regexp_extract_all(s, '[A-Za-z]+'), lambda w: not list_contains({_STOP}, lower(w))) as words from s),
+    l as (select {by}words, list_transform(words, lambda w: {_LEMMA}) as l from k where len(words) > 0),
+    g as (select {by}0 as n, '' as term, len(l) as c from l union all select {by}1, unnest(l), 1 from l
+        union all select {by}2, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])), 1 from l
+        union all select {by}3, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])), 1 from l),
+    w as (select {by}unnest(words) as w from l), e as (select {by}lower(unnest(regexp_extract_all(p, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) as term from {source})
+    select {by}'entity' as kind, null::int as n, term, null::varchar as word, count(*) as cnt from e group by all
+    union all select {by}'ngram', n, term, null, sum(c)::bigint from g group by all
+    union all select {by}'stem', null, {_LEMMA}, w, count(*) from w group by all"""
+
+
+_LINES = "(select doc_id, year, source, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) - 1 as para_no from documents where length(text) > 1000)"
+
+
+def _paras(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.paragraphs_of(read(spark, folder, "documents"), ["doc_id", "year", "source"])
+
+
+@query(_all_terms("doc_id, para_no, ", _LINES))
+def terms_stage(spark, folder):
+    return terms.all_terms(_paras(spark, folder), ["doc_id", "para_no"], "para")
+
+
+@query(_all_terms("year, source, ", _LINES))
+def quarter_terms(spark, folder):
+    """Terms of documents added up to their groups, as the source system adds them up to quarters."""
+    return terms.rolled_up(terms.all_terms(_paras(spark, folder), ["doc_id", "year", "source"], "para"), ["year", "source"])
+
+
+@query(_all_terms("", _LINES))
+def alltime_terms(spark, folder):
+    return terms.rolled_up(terms.all_terms(_paras(spark, folder), ["year", "source"], "para"), [])
+
+
+@query(
+    f"""{_WORDS}, g as (select doc_id, unnest(l) as term from l union all select doc_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) from l
+        union all select doc_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) from l),
+    d as (select doc_id, term, count(*) as n from g group by all), c as (select term, sum(n) as cnt from d group by 1),
+    v as (select term from c qualify row_number() over (order by cnt desc, term) <= floor(0.18 * (select count(*) from c))), i as (select term, row_number() over (order by term) - 1 as word_id from v)
+    select doc_id, string_agg(word_id || ':' || n, ' ' order by word_id) as bow from d join i using (term) group by 1"""
+)
+def bow_ngrams(spark, folder):
+    counts = cut(terms.ngram_counts(read(spark, folder, "documents"), ["doc_id"], n=(1, 2, 3)), "ngrams")
+    vocabulary = terms.cut_vocabulary(counts.groupBy("term").agg(F.sum("cnt").alias("cnt")), term="term")
+    bags = terms.bags(counts, vocabulary, ["doc_id"])
+    return bags.select("doc_id", _bag_text())
+
+
+def _bag_text():
+    return F.array_join(F.transform("bow", lambda e: F.concat(e["idx"].cast("string"), F.lit(":"), e["val"].cast("bigint").cast("string"))), " ").alias("bow")
+
+
 _MAPS = "with m as (select year, qtr, unnest(map_keys(unstem_map)) as stem, unnest(map_values(unstem_map)) as m from para_stems), w as (select year, qtr, stem, unnest(map_keys(m)) as word, unnest(map_values(m)) as n from m), c as (select stem, word, sum(n)::bigint as cnt from w group by all)"
 
 
@@ -335,6 +474,34 @@ def stem_report(spark, folder):
     return terms.stem_report(terms.stems_of_maps(read(spark, folder, "para_stems"), []))
 
 
+@query(_MAPS + " select stem, string_agg(word || ' ' || cnt, ',' order by cnt desc, word) as words from c group by 1")
+def stem_report_whole(spark, folder):
+    return terms.stem_report(terms.stems_of_maps(read(spark, folder, "para_stems"), []), None)
+
+
+@query(
+    """with h as (select * from para_stems where counter is not null), m as (select year, qtr, unnest(map_keys(unstem_map)) as stem, unnest(map_values(unstem_map)) as m from h),
+    w as (select distinct year, qtr, stem, unnest(map_keys(m)) as word from m), e as (select year, qtr, count(distinct stem) as stems, count(*) as forms from w group by all)
+    select year, qtr, count(*) as paragraphs, sum(length)::bigint as words, any_value(stems) as stems, any_value(forms) as forms from h join e using (year, qtr) group by all"""
+)
+def quarter_statistics(spark, folder):
+    return terms.quarter_statistics(read(spark, folder, "para_stems"), ["year", "qtr"])
+
+
+@query("with e as (select qtr, unnest(map_keys(counter)) as stem, unnest(map_values(counter)) as n from para_stems), s as (select stem, sum(case when qtr <= 2 then n else -n end)::bigint as cnt from e group by 1) select * from s where cnt > 0")
+def positive_sums(spark, folder):
+    """What the first half of years has more of than the second."""
+    e = read(spark, folder, "para_stems").select("qtr", F.explode("counter").alias("stem", "n"))
+    return C.positive_sums(e.select("stem", F.when(F.col("qtr") <= 2, F.col("n")).otherwise(-F.col("n")).alias("cnt")), ["stem"], "cnt")
+
+
+@query("select para_id, len(list_intersect(map_keys(counter), ['compli', 'insur', 'sell', 'fund'])) as common, len(list_distinct(map_keys(counter) || ['compli', 'insur', 'sell', 'fund'])) as either from para_stems where counter is not null")
+def set_operations(spark, folder):
+    rows = read(spark, folder, "para_stems").where("counter is not null")
+    mine, stops = F.map_keys("counter"), F.array(*[F.lit(w) for w in ("compli", "insur", "sell", "fund")])
+    return rows.select("para_id", F.size(C.common(mine, stops)).alias("common"), F.size(C.either(mine, stops)).alias("either"))
+
+
 @query(_MAPS + " select stem, arg_min(word, (-cnt, word)) as word from c group by 1")
 def stem_to_word(spark, folder):
     return terms.most_frequent_word(terms.stems_of_maps(read(spark, folder, "para_stems"), []))
@@ -368,7 +535,7 @@ def bow(spark, folder):
     vocabulary = terms.cut_vocabulary(terms.stem_totals(rows, []))
     counts = rows.select("para_id", F.explode("counter").alias("stem", "cnt"))
     bags = terms.bags(counts, vocabulary, ["para_id"], "stem")
-    return bags.select("para_id", F.array_join(F.transform("bow", lambda e: F.concat(e["idx"].cast("string"), F.lit(":"), e["val"].cast("bigint").cast("string"))), " ").alias("bow"))
+    return bags.select("para_id", _bag_text())
 
 
 @query("with e as (select para_id, unnest(map_keys(counter)) as stem, unnest(map_values(counter)) as n from para_stems) select para_id, stem, n as cnt from e where stem not in ('compli', 'insur', 'sell', 'fund')")
@@ -391,7 +558,7 @@ def tfidf_ltc(spark, folder):
 
 @query(
     f"""{_WORDS}, u as (select unnest(l) as term from l), uc as (select term, count(*)::double as c from u group by 1), n as (select count(*)::double as n from u),
-    b as (select unnest(list_transform(range(1, len(l)), lambda i: [l[i], l[i + 1]])) as p from l where len(l) > 1), bc as (select p[1] as first, p[2] as second, count(*) as cnt from b group by all having count(*) >= 20),
+    b as (select unnest(list_transform(range(1, len(l)), lambda i: [l[i], l[i + 1]])) as p from l where len(l) > 1), bc as (select p[1] as first, p[2] as second, count(*) as cnt from b group by all),
     t as (select first, second, cnt, x.c as a, y.c as b, n from bc join uc x on x.term = first join uc y on y.term = second, n)
     select first, second, cnt, round(2 * (cnt * ln(cnt * n / (a * b)) + case when b > cnt then (b - cnt) * ln((b - cnt) * n / ((n - a) * b)) else 0 end
     + case when a > cnt then (a - cnt) * ln((a - cnt) * n / (a * (n - b))) else 0 end + case when n - a - b + cnt > 0 then (n - a - b + cnt) * ln((n - a - b + cnt) * n / ((n - a) * (n - b))) else 0 end), 3) as score
@@ -404,12 +571,13 @@ def bigram_likelihood(spark, folder):
 
 @query(
     f"""with d as (select doc_id, string_split(text, chr(10)) as p from documents where length(text) > 1000), x as (select doc_id, generate_subscripts(p, 1) - 1 as para_no, unnest(p) as p from d),
-    y as (select doc_id, para_no, list_transform(list_filter(regexp_extract_all(p, '[A-Za-z]+'), lambda w: not list_contains({_STOP}, lower(w))), lambda w: {_LEMMA}) as l from x)
-    select doc_id, para_no, len(list_distinct(l)) as stems, len(l) as length from y where len(list_distinct(l)) > 50"""
+    y as (select doc_id, para_no, list_transform(list_filter(regexp_extract_all(p, '[A-Za-z]+'), lambda w: not list_contains({_STOP}, lower(w))), lambda w: {_LEMMA}) as l from x),
+    c as (select doc_id, para_no, unnest(l) as stem from y), n as (select doc_id, para_no, stem, count(*) as n from c group by all)
+    select doc_id, para_no, count(*) as stems, sum(n)::bigint as length, max(n) as most from n group by all having count(*) > 50"""
 )
 def paragraph_stems(spark, folder):
     out = terms.paragraph_stems(read(spark, folder, "documents"), ["doc_id"])
-    return out.select("doc_id", "para_no", F.size("stems").alias("stems"), "length")
+    return out.select("doc_id", "para_no", F.size("counter").alias("stems"), "length", F.array_max(F.map_values("counter")).alias("most"))
 
 
 @query("with w as (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w from documents where text is not null) select doc_id, array_to_string(list_transform(range(1, len(w) + 1, 3), lambda i: array_to_string(w[i:i + 2], ' ')), '|') as chunks from w")
@@ -475,26 +643,42 @@ def lsi_topics(spark, folder):
 @query()
 def lda_topics(spark, folder):
     vocabulary, counts = _kept_counts(read(spark, folder, "para_stems"))
-    found = topics.lda(terms.bags(counts, vocabulary, ["para_id"], "stem"), vocabulary.count(), 20)
-    return topics.top_words(found.join(vocabulary, "word_id").withColumnRenamed("stem", "word"))
+    return topics.top_words(topics.lda(counts, vocabulary, "para_id", 20).withColumnRenamed("stem", "word"))
+
+
+@query(
+    f"""with w as (select topic, word, round(weight, 6) as weight from ({_WEIGHTS})), t as (select topic, word, weight, row_number() over (partition by topic order by weight desc, word) as rank from w qualify rank <= 50),
+    e as (select para_id, unnest(map_keys(counter)) as term, unnest(map_values(counter)) as n from para_stems), d as (select term, count(*) as df from e group by 1),
+    x as (select para_id, term, (1 + log2(n)) * log2((select count(counter) from para_stems) / df) as v from e join d using (term)), k as (select para_id, sqrt(sum(v * v)) as norm from x group by 1),
+    u as (select para_id, term, v / norm as v from x join k using (para_id) where norm > 0), s as (select para_id, topic, round(sum(v * weight), 3) as val from u join t on term = word group by all)
+    select para_id, row_number() over (partition by para_id order by val desc, topic) as rank, topic, val from s qualify rank <= 10"""
+)
+def project_topics(spark, folder):
+    """Records by their weights against the words of topics: the ten topics nearest to each."""
+    rows = read(spark, folder, "para_stems")
+    weights = terms.tfidf(rows.select("para_id", F.explode("counter").alias("term", "cnt")), rows.where("counter is not null").count(), "para_id")
+    words = topics.top_words(_weights(spark, folder).withColumn("weight", F.round("weight", 6)))
+    placed = topics.project(weights, words, "para_id").withColumn("val", F.round("val", 3))
+    vectors = placed.groupBy("para_id").agg(F.collect_list(F.struct("topic", "val")).alias("topic_vec"))
+    return topics.top_topics(vectors, "para_id")
 
 
 # ---- reports
 
-_SAMPLES = "select unnest([['all'], ['all', event_type], ['all', event_type, 'u' || (user_id % 3)]]) as path, value as duration from events"
+_SAMPLES = "select unnest([['all'], ['all', event_type], ['all', event_type, 'u' || (user_id % 3)]]) as path, value as duration, user_id as memory from events"
 
 
 @query(
-    f"""with x as ({_SAMPLES}), e as (select path, count(*) as n, sum(duration) as s, avg(duration) as mean, coalesce(stddev_samp(duration), 0) as std from x group by 1)
-    select array_to_string(e.path, '/') as path, e.n, round(e.mean, 6) as mean, round(e.std, 6) as std, round(e.s * 100 / p.s, 6) as of_parent, round(e.s * 100 / d.s, 6) as of_second
+    f"""with x as ({_SAMPLES}), e as (select path, count(*) as n, sum(duration) as s, avg(duration) as mean, coalesce(stddev_samp(duration), 0) as std, avg(memory) as mm, coalesce(stddev_samp(memory), 0) as ms from x group by 1)
+    select array_to_string(e.path, '/') as path, e.n, round(e.mean, 6) as mean, round(e.std, 6) as std, round(e.s * 100 / p.s, 6) as of_parent, round(e.s * 100 / d.s, 6) as of_second, round(e.mm, 6) as memory_mean, round(e.ms, 6) as memory_std
     from e left join e p on p.path = e.path[1:len(e.path) - 1] left join e d on d.path = e.path[1:2]"""
 )
 def timing_report(spark, folder):
     e = read(spark, folder, "events")
     u = F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string"))
     paths = F.array(F.array(F.lit("all")), F.array(F.lit("all"), "event_type"), F.array(F.lit("all"), F.col("event_type"), u))
-    out = reports.timing_report(e.select(F.explode(paths).alias("path"), F.col("value").alias("duration")))
-    return out.select(F.array_join("path", "/").alias("path"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "of_parent", "of_second")])
+    out = reports.timing_report(e.select(F.explode(paths).alias("path"), F.col("value").alias("duration"), F.col("user_id").alias("memory")), "memory")
+    return out.select(F.array_join("path", "/").alias("path"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "of_parent", "of_second", "memory_mean", "memory_std")])
 
 
 @query("select lang, row_number() over (partition by lang order by n_chars nulls first) as rank, n_chars from documents")
@@ -513,7 +697,12 @@ def human_sizes(spark, folder):
 
 @query()
 def sample_rows(spark, folder):
-    return read(spark, folder, "documents").select("doc_id").sample(0.1, seed=0)
+    return C.sampled(read(spark, folder, "documents").select("doc_id"), 0.1, 0)
+
+
+@query("select doc_id, n_chars from documents order by n_chars desc nulls last, doc_id limit 10")
+def take_rows(spark, folder):
+    return C.taken(read(spark, folder, "documents").select("doc_id", "n_chars"), 10, [F.desc_nulls_last("n_chars"), F.col("doc_id")])
 
 
 FLAGSHIP = QUERIES["bigram_count"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,11 +38,14 @@ def local_session(cores: int = 8, memory: str = "8g", shuffle: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and named there.
+    It is the one named in ``spark.checkpoint.dir``. Only where that is unset on one
+    machine, as in tests, a temporary folder is made and named there; a cluster has
+    to name one, as a folder of one machine is none that all share.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="filigree-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

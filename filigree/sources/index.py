@@ -108,13 +108,15 @@ def violations(filings: DataFrame, form_type: str | None = None) -> Column:
     return F.filter(F.array(*checks), lambda c: c.isNotNull())
 
 
-def first_run(rows: DataFrame, form_type: str, order: list, by: list[str] = ()) -> DataFrame:
+def first_run(rows: DataFrame, form_type: str, order: list, by: list[str]) -> DataFrame:
     """The first unbroken run of rows of a form type in an order, for each value of `by`.
 
-    Later runs are lost, as in a scan that stops at the end of the first. by should
-    name the file: without it all rows are ordered in one task.
+    Later runs are lost, as in a scan that stops at the end of the first. by names
+    the file, whose lines are ordered together.
     """
-    keys = [F.col(c) for c in by] or [F.lit(1)]
+    if not by:
+        raise ValueError("by: the columns that name a file")
+    keys = [F.col(c) for c in by]
     every = Window.partitionBy(*keys).orderBy(*order)
     before = every.rowsBetween(Window.unboundedPreceding, 0)
     hit = F.coalesce(F.col("form_type") == form_type, F.lit(False))
@@ -127,3 +129,14 @@ def first_run(rows: DataFrame, form_type: str, order: list, by: list[str] = ())
 def url_part(year: Column, qtr: Column) -> Column:
     """Where the archive of a quarter's index lies."""
     return F.concat(F.lit(ARCHIVES + "edgar/full-index/"), year, F.lit("/QTR"), qtr, F.lit("/form.zip"))
+
+
+def scan(lines: DataFrame, form_type: str, file: str = "index_file", prefix: str = ARCHIVES) -> DataFrame:
+    """The first run of a form type in each index file, parsed, with the names of the checks that a filing fails in `violations`."""
+    parsed = parse_body(lines, file, prefix).where("error is null").drop("error")
+    return first_run(parsed, form_type, [F.col("line_no")], [file]).withColumn("violations", violations(parsed, form_type))
+
+
+def year_range(filings: DataFrame, first: int, last: int, quarters: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """Filings of the years from first to last; the source system's range stopped before the fourth quarter, as quarters=(1, 2, 3) does."""
+    return filings.where(F.col("year").between(first, last) & F.col("qtr").isin(*quarters))

@@ -21,14 +21,40 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors: the files lie in the
-    folder of ``spark.checkpoint.dir`` and go when the driver's JVM ends.
+    folder of ``spark.checkpoint.dir`` and go when the driver's JVM ends, by
+    discard() once nothing reads them any more, or by free().
     """
     spark = df.sparkSession
     uri = f"{shared_dir(spark)}/filigree/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(uri)
     fs, path = _path(spark, uri)
     fs.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(uri)
+    found = spark.read.schema(df.schema).parquet(uri)
+    _CUT.setdefault(spark.sparkContext.applicationId, {})[uri] = uri
+    found._cut_at = uri
+    return found
+
+
+#: Written tables by application.
+_CUT: dict[str, dict[str, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that cut() returned; nothing built on it may be computed after that."""
+    uri = getattr(df, "_cut_at", None)
+    if uri:
+        fs, path = _path(df.sparkSession, uri)
+        fs.delete(path, True)
+        _CUT.get(df.sparkSession.sparkContext.applicationId, {}).pop(uri, None)
+
+
+def free(spark: SparkSession) -> int:
+    """Deletes all tables that cut() wrote in this application, for long sessions; results must have been written by then."""
+    found = _CUT.pop(spark.sparkContext.applicationId, {})
+    for uri in found.values():
+        fs, path = _path(spark, uri)
+        fs.delete(path, True)
+    return len(found)
 
 
 def canonical(obj) -> str:

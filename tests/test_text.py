@@ -1,7 +1,4 @@
-"""Text functions against plain restatements of their rules, and worked examples."""
-
-import random
-import re
+"""Text functions by worked examples."""
 
 from pyspark.sql import functions as F
 
@@ -20,29 +17,43 @@ def rows(df, column):
     return [r[0] for r in df.select(column).collect()]
 
 
-def plain(text):
-    for tag in ("PAGE", "C", "S", "CAPTION"):
-        text = re.sub(rf"<{tag}>.*", "\n", text)
-    text = re.sub(r"<TABLE>.*?</TABLE>", "", text)
-    text = re.sub(r"^\s*PAGE.*$", "\n", text)
-    text = re.sub("-{2,}", "", text).replace("_", " ").replace("\r\n", "\n")
-    if "\r" in text:
-        return None
-    text = re.sub("\n\\s*\n", "<br />", text).replace("-\n", "").replace("\n", " ")
-    return text.split("<br />")
-
-
-def test_plain_paragraphs_like_the_rules(spark):
-    r = random.Random(5)
-    parts = ["a", "B c", "\n", "\n\n", "\r\n", "-\n", "--", "_", "<PAGE> 3", "<C>", "<TABLE>x</TABLE>", "PAGE", " ", "\t", "\x1c", " ", "."]
-    values = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(400)] + ["PAGE 7", " PAGE\n", "", "a\rb"]
-    df = texts(spark, values)
-    got = rows(df, T.plain_paragraphs(F.col("x")))
-    bad = rows(df, T.has_carriage_return(F.col("x")))
-    for v, g, b in zip(values, got, bad):
-        want = plain(v)
-        assert b == (want is None)
-        assert want is None or g == want
+#: Texts with the paragraphs they hold, written out by hand.
+PLAIN = [
+    ("", [""]),
+    ("one line", ["one line"]),
+    ("wrapped\nline", ["wrapped line"]),
+    ("first\n\nsecond", ["first", "second"]),
+    ("first\n \t\n\nsecond", ["first", "second"]),
+    ("first\n\x1c\nsecond", ["first", "second"]),
+    ("hyphen-\nated", ["hyphenated"]),
+    ("a\r\nb\r\n\r\nc", ["a b", "c"]),
+    ("over <PAGE> 3 gone\nunder", ["over ", "under"]),
+    ("x<C>y\nz", ["x", "z"]),
+    ("<S>1\n<CAPTION>2\nz", ["", "z"]),
+    ("a <TABLE>1 2</TABLE> b", ["a  b"]),
+    ("a <TABLE>1\n2</TABLE> b", ["a <TABLE>1 2</TABLE> b"]),
+    ("PAGE 7", [" "]),
+    ("  PAGE 7\n", ["", ""]),
+    ("see PAGE 7", ["see PAGE 7"]),
+    ("rule ---- here - there", ["rule  here - there"]),
+    ("under_score", ["under score"]),
+]
+
+
+def test_plain_paragraphs(spark):
+    got = rows(texts(spark, [t for t, _ in PLAIN]), T.plain_paragraphs(F.col("x")))
+    for (text, want), found in zip(PLAIN, got):
+        assert found == want, text
+
+
+def test_carriage_returns(spark):
+    assert rows(texts(spark, ["a\r\nb", "a\rb", "a\r\r\nb", ""]), T.has_carriage_return(F.col("x"))) == [False, True, True, False]
+
+
+def test_between_and_unwrap(spark):
+    df = texts(spark, ["head START body STOP tail", "no marks"])
+    assert rows(df, T.between(F.col("x"), "START ", " STOP")) == ["body", ""]
+    assert rows(texts(spark, ["a\nb\n\nc"]), T.unwrap(F.col("x"))) == ["a b\nc"]
 
 
 def test_cleaning(spark):
