@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.store import cut
+from filigree.store import cut, discard
 
 COSINE = 0.7
 #: Rows whose vectors are compared with the tree at once.
@@ -497,7 +497,9 @@ def centroids(rows: DataFrame, cosine: float = COSINE, key: str = "para_id", col
     for k in range(rounds):
         # the work of a task grows with the square of its leaves, so their number sets that of the tasks
         tasks = max(1, -(-leaves.count() // MERGED))
-        leaves = cut(leaves.withColumn("_key", _round_key(k)).repartition(tasks, "_key").drop("_key").mapInArrow(_reduce(cosine), _LEAF), "leaves")
+        merged = cut(leaves.withColumn("_key", _round_key(k)).repartition(tasks, "_key").drop("_key").mapInArrow(_reduce(cosine), _LEAF), "leaves")
+        discard(leaves)
+        leaves = merged
     # counts of a fixed number of cells, added up in two steps
     tasks = leaves.mapInArrow(_count_keys(cosine), "cells binary")
     counts = np.zeros(KEY_CELLS, np.int64)
@@ -511,7 +513,10 @@ def centroids(rows: DataFrame, cosine: float = COSINE, key: str = "para_id", col
     alone = labelled.where("label is null").select("n", "least", "topics", "vals")
     several = labelled.where("label is not null").select("label", "n", "least", "topics", "vals")
     merged = several.repartition("label").mapInArrow(_reduce(cosine), _LEAF)
-    return cut(alone.unionByName(merged), "centroids")
+    found = cut(alone.unionByName(merged), "centroids")
+    for done in (leaves, links):
+        discard(done)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -521,16 +526,18 @@ def components(links: DataFrame) -> DataFrame:
     two rounds where similarity is transitive, else about the logarithm of the longest chain.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b"), "both")
-    labels = cut(both.groupBy(F.col("a").alias("leaf")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    held = cut(both.groupBy(F.col("a").alias("leaf")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
+        labels = held.select("leaf", "label")
         of = labels.select(F.col("leaf").alias("_leaf"), F.col("label").alias("_label"))
         near = both.join(of, F.col("b") == F.col("_leaf")).groupBy("a").agg(F.min("_label").alias("_near"))
         moved = labels.join(near, F.col("leaf") == F.col("a"), "left").select("leaf", F.least("label", F.coalesce("_near", "label")).alias("_new"), F.col("label").alias("_old"))
         jumped = moved.join(of, F.col("_new") == F.col("_leaf"), "left").select("leaf", F.least("_new", F.coalesce("_label", "_new")).alias("label"), "_old")
         after = cut(jumped, "labels")
-        labels = after.select("leaf", "label")
+        discard(held)
+        held = after
         if after.where("label != _old").isEmpty():
-            return labels
+            return after.select("leaf", "label")
 
 
 def _assign(shared, cosine: float):
