@@ -40,7 +40,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def _scratch(root: str) -> str:
-    base = root or os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", os.getcwd())).split(",")[0]
+    base = root or os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",")[0]
+    if not base:
+        raise ValueError("no folder for parts: the shared one is not mounted, and Spark names none for spilling")
     path = os.path.join(base, f"radix-{uuid.uuid4().hex}")
     os.makedirs(path)
     return path
