@@ -165,6 +165,8 @@ class Trie:
         character leaves the states as they are; a ligature moves along several
         edges. Letters left out or put in weigh as much as other letters.
         """
+        if not budget:
+            return self._alike(word)
         states: dict[int, tuple[float, dict]] = {id(self.root): (0.0, self.root)}
         for look in self._clusters(word):
             states = self._step(self._spread(states, budget), look, budget)
@@ -173,6 +175,15 @@ class Trie:
         ends = [(cost, node[""]) for cost, node in self._spread(states, budget).values() if "" in node]
         return min(ends, default=None)
 
+    def _alike(self, word: str) -> tuple[float, str] | None:
+        """walk() where nothing that can be seen may change: states need no costs."""
+        nodes = [self.root]
+        for look in self._clusters(word):
+            nodes = [n[e] for n in nodes for e in self._edges(look) if e in n]
+            if not nodes:
+                return None
+        return min(((0.0, n[""]) for n in nodes if "" in n), default=None)
+
     @staticmethod
     def _clusters(word: str) -> Iterator[str]:
         """Looks of the letters of a word with their marks, without what is invisible."""
