@@ -538,6 +538,18 @@ def bow(spark, folder):
     return bags.select("para_id", _bag_text())
 
 
+@query(
+    _VOCAB
+    + ", p as (select year, para_id, unnest(map_keys(counter)) as stem, unnest(map_values(counter)) as n from para_stems), b as (select year, para_id, list(word_id order by word_id) as ids from p join i using (stem) group by all) select year, count(*) as bags, sum(len(ids))::bigint as entries, max(len(ids)) as longest from b group by 1"
+)
+def corpus_by_year(spark, folder):
+    """The bags of each year, as the models read them: their number and size."""
+    rows = read(spark, folder, "para_stems")
+    vocabulary = terms.cut_vocabulary(terms.stem_totals(rows, []))
+    bags = terms.bags(rows.select("year", "para_id", F.explode("counter").alias("stem", "cnt")), vocabulary, ["year", "para_id"], "stem")
+    return bags.groupBy("year").agg(F.count(F.lit(1)).alias("bags"), F.sum(F.size("bow")).alias("entries"), F.max(F.size("bow")).alias("longest"))
+
+
 @query("with e as (select para_id, unnest(map_keys(counter)) as stem, unnest(map_values(counter)) as n from para_stems) select para_id, stem, n as cnt from e where stem not in ('compli', 'insur', 'sell', 'fund')")
 def without_stop_stems(spark, folder):
     counts = read(spark, folder, "para_stems").select("para_id", F.explode("counter").alias("stem", "cnt"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filigree.session import shared_dir
 
@@ -86,6 +89,21 @@ class Memo:
     def __init__(self, spark: SparkSession, root: str, enabled: bool = True) -> None:
         self.spark, self.root, self.enabled = spark, root.rstrip("/"), enabled
         self.hits, self.misses = 0, 0
+        self._locks: dict[str, threading.RLock] = {}
+        self._lock = threading.Lock()
+
+    def _held(self, name: str) -> threading.RLock:
+        """One lock a function: two threads do not compute the same result, and a function may call itself."""
+        with self._lock:
+            return self._locks.setdefault(name, threading.RLock())
+
+    def decor(self, name: str, version: str = "") -> Callable:
+        """A decorator; the function is then called with keywords only."""
+
+        def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+            return functools.wraps(fn)(lambda **args: self(name, fn, version, **args))
+
+        return wrap
 
     def location(self, name: str, args: dict, version: str = "") -> str:
         key = hashlib.sha256(canonical(args).encode()).hexdigest()[:32]
@@ -94,13 +112,22 @@ class Memo:
     def __call__(self, name: str, fn: Callable[..., DataFrame], version: str = "", **args) -> DataFrame:
         if not self.enabled:
             return fn(**args)
+        with self._held(name):
+            found = self._load(name, args, version)
+            if found is None:
+                self.misses += 1
+                return self._store(name, args, version, fn(**args))
+            self.hits += 1
+            return found
+
+    def _load(self, name: str, args: dict, version: str) -> DataFrame | None:
         uri = self.location(name, args, version)
         fs, done = _path(self.spark, f"{uri}/_SUCCESS")
-        if fs.exists(done):
-            self.hits += 1
-        else:
-            self.misses += 1
-            fn(**args).write.mode("overwrite").parquet(uri)
+        return self.spark.read.parquet(uri) if fs.exists(done) else None
+
+    def _store(self, name: str, args: dict, version: str, result: DataFrame) -> DataFrame:
+        uri = self.location(name, args, version)
+        result.write.mode("overwrite").parquet(uri)
         return self.spark.read.parquet(uri)
 
     def clear(self, name: str) -> None:
@@ -111,3 +138,52 @@ class Memo:
             found = status.getPath().getName()
             if found == name or found.startswith(name + "-"):
                 fs.delete(status.getPath(), True)
+
+
+class MemoryMemo(Memo):
+    """A memo for one session: results are persisted by the executors, spilling to disk, and computed again if one is lost."""
+
+    def __init__(self, spark: SparkSession, enabled: bool = True) -> None:
+        super().__init__(spark, "memory:", enabled)
+        self.results: dict[str, DataFrame] = {}
+
+    def _load(self, name: str, args: dict, version: str) -> DataFrame | None:
+        return self.results.get(self.location(name, args, version))
+
+    def _store(self, name: str, args: dict, version: str, result: DataFrame) -> DataFrame:
+        found = self.results[self.location(name, args, version)] = result.persist()
+        return found
+
+    def clear(self, name: str) -> None:
+        for where in [w for w in self.results if w.split("/")[1] == name or w.split("/")[1].startswith(name + "-")]:
+            self.results.pop(where).unpersist()
+
+
+class TableMemo(Memo):
+    """A memo with one table a function, `<name>_cache`, in which each result is a partition by its key.
+
+    For many small results. Adding one does not write the others again; an empty
+    result leaves no partition and is computed each time.
+    """
+
+    def _table(self, name: str, args: dict, version: str) -> tuple[str, str]:
+        where, key = self.location(name, args, version).rsplit("/", 1)
+        return f"{where}_cache", key
+
+    def _load(self, name: str, args: dict, version: str) -> DataFrame | None:
+        where, key = self._table(name, args, version)
+        fs, part = _path(self.spark, f"{where}/_key={key}")
+        return self.spark.read.parquet(str(part.toString())) if fs.exists(part) else None
+
+    def _store(self, name: str, args: dict, version: str, result: DataFrame) -> DataFrame:
+        where, key = self._table(name, args, version)
+        result.withColumn("_key", F.lit(key)).write.mode("append").partitionBy("_key").parquet(where)
+        found = self._load(name, args, version)
+        return result if found is None else found
+
+    def clear(self, name: str) -> None:
+        fs, root = _path(self.spark, self.root)
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            found = status.getPath().getName()
+            if found.endswith("_cache") and (found == f"{name}_cache" or found.startswith(name + "-")):
+                fs.delete(status.getPath(), True)

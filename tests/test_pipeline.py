@@ -14,7 +14,7 @@ from filigree.operators import reports, sections, terms, topics
 from filigree.plans import queries
 from filigree.session import shared_dir
 from filigree.sources import index, sinks, termlist
-from filigree.store import Memo, canonical, cut, discard, free
+from filigree.store import Memo, MemoryMemo, TableMemo, canonical, cut, discard, free
 
 INDEX = """Made-up index, for a test
 of five lines
@@ -80,6 +80,28 @@ def test_memo(spark, tmp_path):
         canonical(object())
 
 
+@pytest.mark.parametrize("kind", ["memory", "table", "folder"])
+def test_stores_of_the_memo(spark, tmp_path, kind):
+    made = []
+    memo = {"memory": lambda: MemoryMemo(spark), "table": lambda: TableMemo(spark, f"file://{tmp_path}"), "folder": lambda: Memo(spark, f"file://{tmp_path}")}[kind]()
+
+    @memo.decor("letters", "v1")
+    def letters(word):
+        made.append(word)
+        return spark.createDataFrame([(c,) for c in word], "c string")
+
+    threads = [threading.Thread(target=lambda: letters(word="lamp").count()) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert made == ["lamp"] and (memo.hits, memo.misses) == (2, 1)
+    assert sorted(r.c for r in letters(word="tea").collect()) == ["a", "e", "t"] and letters(word="lamp").columns == ["c"]
+    assert made == ["lamp", "tea"]
+    memo.clear("letters")
+    assert letters(word="tea").count() == 3 and made == ["lamp", "tea", "tea"]
+
+
 def test_tables_are_freed(spark):
     one, two = cut(spark.range(3)), cut(spark.range(4))
     discard(one)
