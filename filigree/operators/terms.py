@@ -28,7 +28,8 @@ def sentences(text: Column) -> Column:
 def lemma(word: Column) -> Column:
     """Lower case without plural endings."""
     low = F.lower(word)
-    return F.when(F.length(low) > 4, F.regexp_replace(F.regexp_replace(low, "ies$", "y"), "([^s])s$", "$1")).otherwise(low)
+    # both patterns need an s at the end, which few words have
+    return F.when((F.length(low) > 4) & F.endswith(low, F.lit("s")), F.regexp_replace(F.regexp_replace(low, "ies$", "y"), "([^s])s$", "$1")).otherwise(low)
 
 
 def kept_tokens(sentence: Column) -> Column:
