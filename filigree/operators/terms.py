@@ -7,6 +7,11 @@ lemmas, part-of-speech choices and entities are not.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +193,40 @@ def tfidf(counts: DataFrame, documents: int, key: str = "doc_id", term: str = "t
     return raw.join(norm, F.col(key) == F.col("_k")).where("_norm > 0").select(key, term, (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
+def entry_weights(column: pa.Array, names: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, place of the term, weight) of the entries (key, value) of a batch of records whose term is in `names`, weighed as by tfidf()."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column)
+    place = pc.index_in(pc.struct_field(flat, 0), value_set=names)
+    known = pc.and_(pc.is_valid(place), pc.fill_null(pc.greater(pc.struct_field(flat, 1), 0), False)).to_numpy(zero_copy_only=False)
+    record = np.repeat(np.arange(len(sizes)), sizes)[known]
+    place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False)[known]
+    weight = (1 + np.log2(pc.fill_null(pc.struct_field(flat, 1), 1).to_numpy(zero_copy_only=False)[known].astype(np.float64))) * idf[place]
+    norm = np.sqrt(np.bincount(record, weight * weight, len(sizes)))[record]
+    full = norm > 0
+    return record[full], place[full], weight[full] / norm[full]
+
+
+def tfidf_bags(rows: DataFrame, vocabulary: DataFrame, documents: int, column: str = "counter", term: str = "stem") -> DataFrame:
+    """(bow): for each record that has any, an array of (idx, val) by idx of the weights of tfidf() for terms of the vocabulary (term, df, word_id from 0).
+
+    The vocabulary goes to all tasks, so records are weighed where they are read and nothing is shuffled.
+    """
+    held = vocabulary.orderBy("word_id").select(term, "df").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((held.column(0).combine_chunks(), np.log2(documents / held.column(1).to_numpy())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = shared.value
+        for batch in batches:
+            record, place, weight = entry_weights(batch.column(0), names, idf)
+            order = np.lexsort((place, record))
+            sizes = np.bincount(record)
+            pairs = pa.StructArray.from_arrays([pa.array(place[order], pa.int32()), pa.array(weight[order])], names=["idx", "val"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[sizes > 0])]), pa.int32()), pairs)], names=["bow"])
+
+    return rows.select(F.map_entries(column)).mapInArrow(run, "bow array<struct<idx:int,val:double>>")
+
+
 def bigram_likelihood(counts: DataFrame, least: int = 1) -> DataFrame:
     """(first, second, cnt, score): log-likelihood ratio of bigrams against the independence of their words.
 

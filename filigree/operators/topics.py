@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import functools
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,76 +51,202 @@ def project(weights: DataFrame, topics: DataFrame, key: str = "doc_id", term: st
     return both.groupBy(key, "topic").agg(F.sum(F.col("weight") * F.col("_v")).alias("val"))
 
 
-#: Records whose pairs of words are added up at once, and rows of the matrix that go together.
-CHUNK, SLAB = 2048, 128
-#: Words up to which the matrix of pairs, words squared, is taken apart by the driver.
-MOST_WORDS = 20_000
+#: Pairs of words that are made at once, bytes of the rows of the matrix that go together, and of those that a task adds up.
+PAIRS, SLAB, HELD = 1 << 19, 8 << 20, 64 << 20
+#: Vectors by which the search for the leading ones grows, and by how many at most over k it holds.
+BLOCK, BEYOND = 100, 700
+#: Residual, as a part of the largest value, at which a vector counts as found.
+CLOSE = 1e-9
 
 
-def _pairs(words: int):
-    """(slab, sums): sums over records of products of two words, the upper triangle in slabs of rows."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sizes, idx, val): the records of a batch as three arrays."""
+    for batch in batches:
+        column = batch.column(0)
+        flat = pc.list_flatten(column)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        arrays = sizes, pc.struct_field(flat, 0).to_numpy(zero_copy_only=False).astype(np.int32), pc.struct_field(flat, 1).to_numpy(zero_copy_only=False).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["sizes", "idx", "val"])
+
+
+def _pairs(words: int, slab: int, first: int, last: int):
+    """(slab, sums): sums over records of products of two words, the upper triangle, for the rows from first to last in slabs of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((words, words))
+        gram = np.zeros((last - first, words - first))
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                column = batch.column(0).slice(start, CHUNK)
-                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = pc.list_flatten(column)
-                index, value = pc.struct_field(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.struct_field(flat, 1).to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                sizes, index, value = (np.frombuffer(c[k].as_buffer(), kind) for c, kind in zip(batch.columns, (np.int32, np.int32, np.float64)))
+                mine = np.flatnonzero((index >= first) & (index < last))
                 # every entry with those from itself on in its record, which come in order of the words
-                ends = np.repeat(np.cumsum(sizes), sizes)
-                partners = ends - np.arange(len(index))
-                a = np.repeat(np.arange(len(index)), partners)
-                b = a + np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners)
-                place = index[a] * words + index[b]
-                order = np.argsort(place, kind="stable")
-                place, product = place[order], (value[a] * value[b])[order]
-                first = np.flatnonzero(np.diff(place, prepend=-1))
-                if len(first):
-                    gram.ravel()[place[first]] += np.add.reduceat(product, first)
-        for slab in range(0, words, SLAB):
-            yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([zlib.compress(gram[slab : slab + SLAB, slab:].tobytes(), 1)], pa.binary())], names=["slab", "sums"])
+                partners = np.repeat(np.cumsum(sizes, dtype=np.int64), sizes)[mine] - mine
+                sofar = np.cumsum(partners)
+                at = 0
+                while at < len(mine):
+                    end = max(at + 1, int(np.searchsorted(sofar, (sofar[at - 1] if at else 0) + PAIRS, "right")))
+                    many = partners[at:end]
+                    a = np.repeat(mine[at:end], many)
+                    b = a + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+                    np.add.at(gram.reshape(-1), (index[a] - first).astype(np.int64) * (words - first) + index[b] - first, value[a] * value[b])
+                    at = end
+        for start in range(first, last, slab):
+            rows = gram[start - first : min(start + slab, last) - first, start - first :]
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), pa.array([pa.compress(rows.tobytes(), "lz4", asbytes=True)], pa.binary())], names=["slab", "sums"])
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for slab, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            mine = np.frombuffer(zlib.decompress(blob))
-            held[slab] = held[slab] + mine if slab in held else mine
-    for slab, sums in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["slab", "sums"])
+def _rows(words: int, slab: int, start: int, blob: pa.BinaryScalar) -> np.ndarray:
+    """Rows of the matrix, from the column of the first of them on."""
+    rows, columns = min(slab, words - start), words - start
+    return np.frombuffer(pa.decompress(blob.as_buffer(), rows * columns * 8, "lz4")).reshape(rows, columns)
+
+
+def _added(words: int, slab: int):
+    """Sums of the same slab, which come one after the other, in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((start, blob) for batch in batches for start, blob in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for start, same in itertools.groupby(each, key=lambda x: x[0]):
+            total = np.zeros((min(slab, words - start), words - start))
+            for _, blob in same:
+                total += _rows(words, slab, start, blob)
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), pa.array([pa.compress(total.tobytes(), "lz4", asbytes=True)], pa.binary())], names=["slab", "sums"])
+
+    return run
+
+
+def _times(words: int, slab: int, shared):
+    """(part): the product of a task's rows of the matrix, both triangles, with vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = np.frombuffer(shared.value).reshape(words, -1)
+        out = np.zeros(vectors.shape)
+        for batch in batches:
+            for start, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = _rows(words, slab, start, blob)
+                end = start + len(rows)
+                out[start:end] += rows @ vectors[start:]
+                out[start:] += rows.T @ vectors[start:end]
+                out[start:end] -= rows.diagonal()[:, None] * vectors[start:end]
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+
+    return run
+
+
+def _told(words: int, shared):
+    """(topic, word_id, weight): the vectors of topics, word by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = np.frombuffer(shared.value).reshape(-1, words)
+        ids = pa.array(np.arange(words, dtype=np.int32))
+        for batch in batches:
+            for topic in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(words, topic, np.int32)), ids, pa.array(vectors[topic])], names=["topic", "word_id", "weight"])
+
+    return run
+
+
+def leading(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, block: int, beyond: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors as columns): the k largest of a positive symmetric matrix of n rows, of which only its product with a block of vectors is asked.
+
+    Block Lanczos with full orthogonalisation that is restarted from the best vectors
+    so far, until each of the k leaves a residual of CLOSE times the largest value
+    at most. It holds n times k + beyond + block numbers; these are n at most.
+    """
+    most = k + beyond
+    draw = np.random.default_rng(0)
+    held, small = np.empty((n, most + block)), np.zeros((most + block, most + block))
+    held[:, :block] = np.linalg.qr(draw.standard_normal((n, block)))[0]
+    fresh, have = 0, block
+    while True:
+        basis = held[:, :have]
+        left = times(np.ascontiguousarray(held[:, fresh:have]))
+        part = basis.T @ left
+        left -= basis @ part
+        again = basis.T @ left
+        left -= basis @ again
+        small[:have, fresh:have] = part + again
+        small[fresh:have, :have] = small[:have, fresh:have].T
+        new, rest = np.linalg.qr(left)
+        if have + block > most or have >= k and not (have - k) % (3 * block):
+            values, turn = np.linalg.eigh((small[:have, :have] + small[:have, :have].T) / 2)
+            values, turn = values[::-1], np.ascontiguousarray(turn[:, ::-1])
+            far = np.linalg.norm(rest @ turn[fresh:have, :k], axis=0)
+            done = have >= k and far.max() <= CLOSE * max(values[0], 0)
+            if done or have + block > most:
+                keep = k if done else k + (most - k) // 2
+                for at in range(0, n, 4096):  # in place
+                    held[at : at + 4096, :keep] = held[at : at + 4096, :have] @ turn[:, :keep]
+                if done:
+                    return values[:k], held[:, :k].copy()
+                small[:] = 0
+                small[range(keep), range(keep)] = values[:keep]
+                have = keep
+        # directions that are used up make room for any others
+        size = np.abs(rest.diagonal())
+        spent = size <= 1e-13 * max(np.abs(small).max(), 1e-300)
+        new[:, spent] = draw.standard_normal((n, int(spent.sum())))
+        for _ in range(2):
+            new -= held[:, :have] @ (held[:, :have].T @ new)
+            new = np.linalg.qr(new)[0]
+        held[:, have : have + block] = new
+        fresh, have = have, have + block
 
 
 def lsi(bow: DataFrame, words: int, k: int, tasks: int | None = None) -> tuple[list[float], DataFrame]:
     """(singular values, topics): latent semantic indexing of bags (bow: array of (idx, val) by idx) over `words` columns.
 
-    Records are read once, whatever k: tasks add up products of words that stand
-    together, of which the sum, words squared, comes to the driver to be taken
-    apart. Records are brought into `tasks` parts (those of the session's shuffles
-    if not given), as each gives sums of the size of the matrix. topics is (topic,
-    word_id, weight). Signs of vectors are arbitrary; values of zero are left out.
+    Records are computed once, whatever k. Tasks, `tasks` at least (as many as run at
+    once if not given), add up products of words that stand together, each for a
+    group of rows of the matrix, words squared, that it can hold; the sums lie in a
+    table. A matrix of few words comes to the driver to be taken apart; of a
+    larger one the driver holds vectors only, by which the tasks multiply it.
+    topics is (topic, word_id, weight). Signs of vectors are arbitrary; values of
+    zero are left out.
     """
-    if words > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} words: their matrix does not fit the driver")
+    from filigree.store import cut, discard
+
     spark = bow.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = bow.select("bow").coalesce(tasks).mapInArrow(_pairs(words), "slab int, sums binary").repartition("slab").mapInArrow(_added, "slab int, sums binary")
-    gram = np.zeros((words, words))
-    for slab, blob in sums.toLocalIterator():
-        rows = min(SLAB, words - slab)
-        gram[slab : slab + rows, slab:] = np.frombuffer(blob).reshape(rows, words - slab)
-    squares, vectors = np.linalg.eigh(gram, UPLO="U")
-    values = np.sqrt(np.maximum(squares[::-1][:k], 0))
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    records = cut(bow.select("bow").mapInArrow(_packed, "sizes binary, idx binary, val binary"), "records")
+    slab = max(1, min(128, SLAB // (8 * max(words, 1))))
+    bounds = [0]
+    while bounds[-1] < words:
+        bounds.append(min(words, bounds[-1] + slab * max(1, HELD // (8 * (words - bounds[-1]) * slab))))
+    if not words:
+        return [], spark.createDataFrame([], "topic int, word_id int, weight double")
+    # as many tasks to a group as keep all busy, since each gives sums of the size of the group; a union of single partitions would be one task
+    each = records.coalesce(max(2, -(-tasks // (len(bounds) - 1))))
+    parts = [each.mapInArrow(_pairs(words, slab, first, last), "slab int, sums binary") for first, last in itertools.pairwise(bounds)]
+    sums = functools.reduce(DataFrame.unionAll, parts).repartition(4 * tasks, "slab").sortWithinPartitions("slab").mapInArrow(_added(words, slab), "slab int, sums binary")
+    sums = cut(sums, "products")
+    discard(records)
+    if words <= 2 * (k + BEYOND):
+        gram = np.zeros((words, words))
+        for start, blob in sums.toLocalIterator():
+            rows = _rows(words, slab, start, pa.scalar(bytes(blob)))
+            gram[start : start + len(rows), start:] = rows
+        squares, vectors = np.linalg.eigh(gram, UPLO="U")
+        squares, vectors = squares[::-1][:k], vectors[:, ::-1][:, :k]
+    else:
+
+        def times(block: np.ndarray) -> np.ndarray:
+            shared = spark.sparkContext.broadcast(block.tobytes())
+            out = np.zeros(block.shape)
+            for part in sums.coalesce(tasks).mapInArrow(_times(words, slab, shared), "part binary").toArrow().column(0):
+                out += np.frombuffer(part.as_buffer()).reshape(block.shape)
+            shared.destroy()
+            return out
+
+        squares, vectors = leading(times, words, k, BLOCK, BEYOND)
+    discard(sums)
+    values = np.sqrt(np.maximum(squares, 0))
     values = values[values > 1e-9 * values[:1].max(initial=0)]
     found = len(values)
-    # one row a topic; words are told apart only in the tasks
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(found + 1, dtype=np.int32) * words), pa.array(vectors[:, ::-1][:, :found].T.ravel()))
-    table = spark.createDataFrame(pa.table({"topic": np.arange(found, dtype=np.int32), "_v": lists}))
-    return values.tolist(), table.select("topic", F.posexplode("_v").alias("word_id", "weight"))
+    shared = spark.sparkContext.broadcast(vectors[:, :found].T.tobytes())
+    each = spark.range(0, found, 1, max(1, min(found, tasks))).mapInArrow(_told(words, shared), "topic int, word_id int, weight double")
+    return values.tolist(), each
 
 
 def lda(counts: DataFrame, vocabulary: DataFrame, key: str, k: int = 20, iterations: int = 10, seed: int = 0, term: str = "stem") -> DataFrame:

@@ -646,10 +646,12 @@ def _kept_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query()
 def lsi_topics(spark, folder):
     rows = read(spark, folder, "para_stems")
-    vocabulary, counts = _kept_counts(rows)
-    weights = terms.tfidf(counts, rows.where("counter is not null").count(), "para_id", "stem").withColumnRenamed("weight", "cnt")
-    values, found = topics.lsi(terms.bags(weights, vocabulary, ["para_id"], "stem"), vocabulary.count(), LSI_TOPICS)
-    return topics.top_words(found.join(vocabulary, "word_id").withColumnRenamed("stem", "word"))
+    totals = cut(rows.select(F.explode("counter").alias("stem", "_n")).groupBy("stem").agg(F.sum("_n").alias("cnt"), F.count(F.lit(1)).alias("df")), "totals")
+    vocabulary = cut(terms.cut_vocabulary(totals.select("stem", "cnt")).join(totals.select("stem", "df"), "stem"), "vocabulary")
+    bags = terms.tfidf_bags(rows, vocabulary, rows.where("counter is not null").count())
+    values, found = topics.lsi(bags, vocabulary.count(), LSI_TOPICS)
+    # the words are few beside topics times words, which Spark takes for the smaller side
+    return topics.top_words(found.join(F.broadcast(vocabulary), "word_id").withColumnRenamed("stem", "word"))
 
 
 @query()

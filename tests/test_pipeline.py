@@ -193,6 +193,40 @@ def test_lsi_like_an_exact_decomposition(spark):
     assert topics.lsi(bows.limit(0), 17, 5)[0] == []
 
 
+def test_lsi_of_a_matrix_that_no_task_and_no_driver_holds(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    dense = r.random((400, 150)) * (r.random((400, 150)) < 0.2) * np.linspace(2, 0.1, 150)
+    dense[:, 140:] = 0  # words that no record has
+    rows = [([(int(j), float(row[j])) for j in np.flatnonzero(row)],) for row in dense]
+    bows = spark.createDataFrame(rows, "bow array<struct<idx:int,val:double>>").repartition(3)
+    for name, value in (("PAIRS", 50), ("SLAB", 8 * 150 * 4), ("HELD", 8 * 150 * 20), ("BLOCK", 4), ("BEYOND", 14)):
+        monkeypatch.setattr(topics, name, value)
+    values, found = topics.lsi(bows, 150, 12)
+    _, exact, vectors = np.linalg.svd(dense)
+    assert np.allclose(values, exact[:12])
+    mine = np.zeros((12, 150))
+    for t in found.collect():
+        mine[t.topic, t.word_id] = t.weight
+    assert np.allclose(np.abs((mine * vectors[:12]).sum(1)), 1)
+
+
+def test_leading_vectors_of_few_directions():
+    r = np.random.default_rng(6)
+    some = r.random((90, 7))
+    values, vectors = topics.leading(lambda x: some @ (some.T @ x), 90, 12, 5, 15)
+    assert np.allclose(values, np.linalg.eigvalsh(some @ some.T)[::-1][:12])
+    assert np.allclose(vectors.T @ vectors, np.eye(12))
+
+
+def test_lsi_of_more_words_than_fit_a_matrix(spark, monkeypatch):
+    monkeypatch.setattr(topics, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(topics, "BEYOND", 12, raising=False)
+    bows = spark.createDataFrame([([(0, 3.0)],), ([(20_500, 4.0)],)], "bow array<struct<idx:int,val:double>>")
+    values, found = topics.lsi(bows, 20_501, 2)
+    assert [round(v, 6) for v in values] == [4.0, 3.0]
+    assert {(r.topic, r.word_id) for r in found.where("abs(weight) > 0.5").collect()} == {(0, 20_500), (1, 0)}
+
+
 def test_projection(spark):
     weights = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8), (2, "c", 1.0)], "doc_id int, term string, weight double")
     words = spark.createDataFrame([(0, "a", 1.0), (0, "b", -1.0), (1, "b", 0.5)], "topic int, word string, weight double")
