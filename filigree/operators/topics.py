@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.operators.terms import entry_weights
+
 
 def quarter_topics(rows: DataFrame, vec: str = "topic_vec", weight: str = "length") -> DataFrame:
     """(year, qtr, topic, weighted, unweighted, pairs): sums of topic values, by record length and plain; pairs counts (record, topic)."""
@@ -51,6 +53,151 @@ def project(weights: DataFrame, topics: DataFrame, key: str = "doc_id", term: st
     return both.groupBy(key, "topic").agg(F.sum(F.col("weight") * F.col("_v")).alias("val"))
 
 
+#: Records that are multiplied at once, and the part of topics from which on a word's weights are held as a row of a matrix.
+RECORDS, OFTEN = 512, 0.05
+
+
+def _nearest(shared, k: int):
+    """(key, rank, topic, val) of batches (key, entries): see nearest()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topic, word, weight, weigh = shared.value
+        ids, column = np.unique(topic, return_inverse=True)
+        encoded = word.dictionary_encode()
+        names, code = encoded.dictionary, encoded.indices.to_numpy()
+        # words of many topics by a matrix, of which there are few; the others by lists
+        often = np.bincount(code, minlength=len(names)) >= OFTEN * len(ids)
+        row = np.where(often, np.cumsum(often) - 1, -1)
+        matrix, there = np.zeros((often.sum(), len(ids))), np.zeros((often.sum(), len(ids)), np.float32)
+        matrix[row[code[often[code]]], column[often[code]]] = weight[often[code]]
+        there[row[code[often[code]]], column[often[code]]] = 1
+        seldom = np.flatnonzero(~often[code])
+        seldom = seldom[np.argsort(code[seldom], kind="stable")]
+        size = np.bincount(code[seldom], minlength=len(names))
+        start = np.cumsum(size) - size
+        if weigh:
+            terms, idf = weigh
+            of_term = pc.fill_null(pc.index_in(terms, value_set=names), -1).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            for at in range(0, batch.num_rows, RECORDS):
+                part = batch.slice(at, RECORDS)
+                if weigh:
+                    record, place, val = entry_weights(part.column(1), terms, idf)
+                    mine = of_term[place]
+                else:
+                    sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                    flat = pc.list_flatten(part.column(1))
+                    record, val = np.repeat(np.arange(len(sizes)), sizes), pc.struct_field(flat, 1).to_numpy(zero_copy_only=False)
+                    mine = pc.fill_null(pc.index_in(pc.struct_field(flat, 0), value_set=names), -1).to_numpy(zero_copy_only=False)
+                known = mine >= 0
+                record, mine, val = record[known], mine[known], val[known]
+                many = row[mine] >= 0
+                left, has = np.zeros((part.num_rows, len(matrix))), np.zeros((part.num_rows, len(matrix)), np.float32)
+                np.add.at(left, (record[many], row[mine[many]]), val[many])
+                has[record[many], row[mine[many]]] = 1
+                sums, seen = left @ matrix, has @ there > 0
+                few = ~many
+                times = size[mine[few]]
+                entry = seldom[np.arange(times.sum()) + np.repeat(start[mine[few]] - (np.cumsum(times) - times), times)]
+                cell = np.repeat(record[few], times) * len(ids) + column[entry]
+                sums += np.bincount(cell, np.repeat(val[few], times) * weight[entry], sums.size).reshape(sums.shape)
+                seen.reshape(-1)[cell] = True
+                sums = np.trunc(sums * 1000 + np.copysign(0.5, sums)) / 1000 + 0.0
+                sums[~seen] = -np.inf
+                if len(ids) > k:
+                    seen &= sums >= np.partition(sums, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                r, c = np.nonzero(seen)
+                order = np.lexsort((c, -sums[r, c], r))
+                r, c = r[order], c[order]
+                ranks = np.bincount(r, minlength=part.num_rows)
+                rank = np.arange(len(r)) - np.repeat(np.cumsum(ranks) - ranks, ranks) + 1
+                r, c, rank = r[rank <= k], c[rank <= k], rank[rank <= k]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(rank, pa.int32()), pa.array(ids[c], pa.int32()), pa.array(sums[r, c])], names=["key", "rank", "topic", "val"])
+
+    return run
+
+
+def _summed(shared, slab: int):
+    """(first, sums): topic values times counts of the words that are given, added up by a task in slabs of words; -0.0 where there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names = shared.value
+        sums = np.full((len(names), len(ids)), -0.0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, RECORDS):
+                part = batch.slice(at, RECORDS)
+                (topic, vec), (term, counter) = ((pc.list_flatten(c), pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for c in part.columns)
+                word = pc.index_in(pc.struct_field(term, 0), value_set=names)
+                known = pc.and_(pc.is_valid(word), pc.is_valid(pc.struct_field(term, 1))).to_numpy(zero_copy_only=False)
+                record, word = np.repeat(np.arange(len(counter)), counter)[known], pc.fill_null(word, 0).to_numpy(zero_copy_only=False)[known]
+                n = pc.fill_null(pc.struct_field(term, 1), 0).to_numpy(zero_copy_only=False)[known]
+                times = vec[record]
+                entry = np.arange(times.sum()) + np.repeat((np.cumsum(vec) - vec)[record] - (np.cumsum(times) - times), times)
+                column = np.searchsorted(ids, pc.struct_field(topic, 0).to_numpy(zero_copy_only=False))[entry]
+                value = pc.struct_field(topic, 1).to_numpy(zero_copy_only=False)[entry] * np.repeat(n, times) + 0.0
+                np.add.at(sums.reshape(-1), np.repeat(word, times).astype(np.int64) * len(ids) + column, value)
+        for first in range(0, len(names), slab):
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([pa.compress(sums[first : first + slab].tobytes(), "lz4", asbytes=True)], pa.binary())], names=["first", "sums"])
+
+    return run
+
+
+def _spread(shared, slab: int):
+    """(topic, word, weight) of slabs of sums, of which the same ones come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names = shared.value
+        each = ((first, blob) for batch in batches for first, blob in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for first, same in itertools.groupby(each, key=lambda x: x[0]):
+            shape = min(slab, len(names) - first), len(ids)
+            total = np.full(shape, -0.0)
+            for _, blob in same:
+                total += np.frombuffer(pa.decompress(blob.as_buffer(), total.nbytes, "lz4")).reshape(shape)
+            w, t = np.nonzero((total != 0) | ~np.signbit(total))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[t], pa.int32()), names.take(pa.array(w + first)), pa.array(total[w, t])], names=["topic", "word", "weight"])
+
+    return run
+
+
+def word_weights(rows: DataFrame, frequencies: DataFrame, vec: str = "topic_vec", column: str = "counter") -> DataFrame:
+    """(topic, word, weight): sums over records of topic values times counts of words; frequencies is (term, df).
+
+    Frequent words stand with all topics in all tasks, so each task adds them up in
+    a table of HELD bytes; the others, which have few pairs, are shuffled.
+    """
+    flat = rows.where(f"{vec} is not null and {column} is not null").select(F.filter(vec, lambda e: e["topic"].isNotNull() & e["val"].isNotNull()).alias("_v"), column)
+    ids = np.array(sorted(r[0] for r in flat.select(F.explode("_v.topic")).distinct().collect()), np.int32)
+    frequent = frequencies.orderBy(F.desc("df"), "term").limit(max(1, HELD // (8 * max(1, len(ids))))).select("term").toArrow().column(0).combine_chunks()
+    spark = rows.sparkSession
+    shared, slab = spark.sparkContext.broadcast((ids, frequent)), max(1, (1 << 20) // (8 * max(1, len(ids))))
+    tasks = spark.sparkContext.defaultParallelism
+    parts = flat.select("_v", F.map_entries(column)).coalesce(tasks).mapInArrow(_summed(shared, slab), "first int, sums binary")
+    held = parts.repartition(4 * tasks, "first").sortWithinPartitions("first").mapInArrow(_spread(shared, slab), "topic int, word string, weight double")
+    names = spark.createDataFrame(pa.table({"_t": frequent}))
+    rest = flat.select("_v", F.explode(column).alias("word", "_n")).join(F.broadcast(names), F.col("word") == F.col("_t"), "left_anti")
+    rest = rest.select(F.explode("_v").alias("_e"), "word", "_n").groupBy(F.col("_e.topic").alias("topic"), "word").agg(F.sum(F.col("_e.val") * F.col("_n")).alias("weight"))
+    return held.unionByName(rest)
+
+
+def nearest(records: DataFrame, words: DataFrame, key: str, k: int = 10, frequencies: DataFrame | None = None, documents: int = 0) -> DataFrame:
+    """(key, rank, topic, val): the k topics (topic, word, weight) that are largest for each record, of project() rounded to three decimals, by sign, ties by topic.
+
+    records is (key, entries), one row a record: array of (term, weight), or, with
+    `frequencies` (term, df), a map of term to count that is weighed as by tfidf().
+    Topics, and frequencies if given, go to all tasks; each record is done within
+    its row and of its topics only k leave the task.
+    """
+    held = words.where("word is not null and weight is not null").select("topic", "word", "weight").toArrow()
+    weigh = None
+    if frequencies is not None:
+        found = frequencies.select("term", "df").toArrow()
+        weigh = found.column(0).combine_chunks(), np.log2(documents / found.column(1).to_numpy())
+    shared = records.sparkSession.sparkContext.broadcast((held.column(0).to_numpy(), held.column(1).combine_chunks(), held.column(2).to_numpy(), weigh))
+    kind = dict(records.dtypes)[key]
+    entries = F.map_entries("entries") if weigh else F.col("entries")
+    return records.select(key, entries).mapInArrow(_nearest(shared, k), f"key {kind}, rank int, topic int, val double").withColumnRenamed("key", key)
+
+
 #: Pairs of words that are made at once, bytes of the rows of the matrix that go together, and of those that a task adds up.
 PAIRS, SLAB, HELD = 1 << 19, 8 << 20, 64 << 20
 #: Vectors by which the search for the leading ones grows, and by how many at most over k it holds.

@@ -604,6 +604,8 @@ def word_chunks(spark, folder):
 
 #: Topics of the latent semantic indexing.
 LSI_TOPICS = 500
+#: Terms whose frequencies go to all tasks.
+HELD_TERMS = 1_000_000
 _FLAT = "with f as (select para_id, year, qtr, coalesce(length, 0) as w, unnest(topic_vec) as e from para_stems)"
 _QT = _FLAT + ", s as (select year, qtr, e.topic as topic, sum(e.val * w) as weighted, sum(e.val) as unweighted, count(*) as pairs from f group by all), t as (select year, qtr, sum(coalesce(length, 0)) as weights, count(*) as docs from para_stems where len(topic_vec) > 0 group by all)"
 
@@ -669,12 +671,17 @@ def lda_topics(spark, folder):
 )
 def project_topics(spark, folder):
     """Records by their weights against the words of topics: the ten topics nearest to each."""
-    rows = read(spark, folder, "para_stems")
-    weights = terms.tfidf(rows.select("para_id", F.explode("counter").alias("term", "cnt")), rows.where("counter is not null").count(), "para_id")
-    words = topics.top_words(_weights(spark, folder).withColumn("weight", F.round("weight", 6)))
-    placed = topics.project(weights, words, "para_id").withColumn("val", F.round("val", 3))
-    vectors = placed.groupBy("para_id").agg(F.collect_list(F.struct("topic", "val")).alias("topic_vec"))
-    return topics.top_topics(vectors, "para_id")
+    rows = read(spark, folder, "para_stems").where("para_id is not null")
+    documents = read(spark, folder, "para_stems").where("counter is not null").count()
+    counts = read(spark, folder, "para_stems").select("para_id", F.explode("counter").alias("term", "cnt"))
+    frequencies = cut(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    words = topics.top_words(topics.word_weights(read(spark, folder, "para_stems"), frequencies).withColumn("weight", F.round("weight", 6)))
+    if frequencies.count() <= HELD_TERMS and rows.groupBy("para_id").count().where("count > 1").isEmpty():
+        return topics.nearest(rows.select("para_id", F.col("counter").alias("entries")), words, "para_id", 10, frequencies, documents)
+    # more terms than go to all tasks, or records in several rows: both are brought together by shuffles
+    weights = terms.tfidf(counts, documents, "para_id")
+    records = weights.groupBy("para_id").agg(F.collect_list(F.struct("term", "weight")).alias("entries"))
+    return topics.nearest(records, words, "para_id")
 
 
 # ---- reports

@@ -234,6 +234,31 @@ def test_projection(spark):
     assert got == {(1, 0): -0.2, (1, 1): 0.4}
 
 
+def test_projection_of_records_is_that_of_joins(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(7)
+    rows = []
+    for i in range(120):
+        some = {f"s{int(k):02d}": int(n) for k, n in zip(r.integers(0, 90, 12) * r.integers(0, 2, 12), r.integers(1, 5, 12))}
+        vec = [(int(t), float(v)) for t, v in zip(r.choice(40, 3, False), r.random(3) - 0.3)]
+        rows.append((i, some if i % 10 else None, vec if i % 7 else None))
+    rows.append((500, {"only": 1}, []))
+    spark.createDataFrame(rows, "para_id bigint, counter map<string,bigint>, topic_vec array<struct<topic:int,val:double>>").write.parquet(f"{tmp_path}/para_stems.parquet")
+    stems = spark.read.parquet(f"{tmp_path}/para_stems.parquet")
+    words = topics.top_words(queries._weights(spark, str(tmp_path)).withColumn("weight", F.round("weight", 6)))
+    weights = terms.tfidf(stems.select("para_id", F.explode("counter").alias("term", "cnt")), stems.where("counter is not null").count(), "para_id")
+    vectors = topics.project(weights, words, "para_id").groupBy("para_id").agg(F.collect_list(F.struct("topic", F.round("val", 3).alias("val"))).alias("topic_vec"))
+    expected = sorted(tuple(x) for x in topics.top_topics(vectors, "para_id").collect())
+    shuffled = []
+    monkeypatch.setattr(terms, "tfidf", lambda *a, was=terms.tfidf: shuffled.append(1) or was(*a))
+    for held, often, most in ((1000, 0.05, 64 << 20), (1000, 0.5, 8 * 40 * 30), (1, 0.05, 1)):
+        monkeypatch.setattr(topics, "HELD", most, raising=False)
+        monkeypatch.setattr(queries, "HELD_TERMS", held, raising=False)
+        monkeypatch.setattr(topics, "OFTEN", often, raising=False)
+        assert sorted(tuple(x) for x in queries.QUERIES["project_topics"](spark, str(tmp_path)).collect()) == expected
+        # entries of records are not shuffled unless there are too many terms
+        assert len(shuffled) == (held == 1)
+
+
 def test_lda_of_nothing(spark):
     none = spark.createDataFrame([], "k int, stem string, cnt bigint")
     assert topics.lda(none, none.selectExpr("stem", "1 as word_id"), "k").count() == 0
